@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantframe.operators.timeline import id_bucket, with_ordinal
+from quantframe.session import staged
 
 TICKERS = ["SPY", "QQQ", "DIA", "GLD", "TLT", "IWM", "VIX"]
 UNIVERSE_CUSTOMERS = 15000  # customers per copy of the ticker list, so that histories stay bounded
@@ -58,9 +59,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-tick bars on consecutive dates; ``bar_no`` is the 1-based position in the ticker."""
+    """Two-tick bars on consecutive dates; ``bar_no`` is the 1-based position in the ticker.
+
+    Written to the shared folder, as the reading side takes several column subsets of it.
+    """
     numbered = ticks(spark, sf_dir).withColumn("bar_no", F.floor((F.col("rn") + 1) / 2).cast("long"))
-    return (
+    return staged(
         numbered.groupBy("ticker", "bar_no")
         .agg(
             F.min_by("price", "rn").alias("open"),
@@ -74,3 +78,37 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("_n")
         .withColumn("date", F.date_add(F.lit(FIRST_DATE).cast("date"), (F.col("bar_no") - 1).cast("int")))
     )
+
+
+RETURN_SCALE = 100.0  # prices mix different parts, so log returns are scaled to daily size
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows: bar, scaled returns, class probabilities from volume and range, thresholded class."""
+    from quantframe.functions.signals import decide
+    from quantframe.operators.features import compute, number_bars
+
+    panel = number_bars(bars(spark, sf_dir)).filter(F.col("ticker") != "VIX")
+    scored = compute(panel, ["log_returns", "forward_return"])
+    p_buy = F.col("volume") / F.lit(125.0)
+    p_sell = (F.lit(1.0) - p_buy) * F.col("low") / F.col("high")
+    return scored.select(
+        "ticker", "date", "bar_no", "close", "volume",
+        (F.col("ret_1d") / RETURN_SCALE).alias("ret_1d"),
+        (F.col("fwd_log_return") / RETURN_SCALE).alias("fwd_log_return"),
+        p_buy.alias("prob_buy"), p_sell.alias("prob_sell"),
+    ).withColumn("y_pred", decide(F.col("prob_buy"), F.col("prob_sell"), BUY_AT, SELL_AT))
+
+
+# Production decision thresholds and label limits.
+BUY_AT, SELL_AT = 0.4418490104448511, 0.5264213424699449
+BULL_LIMIT, BEAR_LIMIT = 0.0053093753051493085, -0.005749496635898443
+Q_HIGH_ORIGINAL, Q_LOW_ORIGINAL = 0.693799087600558, 0.25020639959880264
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals with a known next return, labelled by the quantiles of that return."""
+    from quantframe.operators.labels import label_by_quantiles, quantile_thresholds
+
+    known = staged(signals(spark, sf_dir).filter(F.col("fwd_log_return").isNotNull()))
+    return label_by_quantiles(known, quantile_thresholds(known), name="y_true")

@@ -1,6 +1,6 @@
 """Runnable queries over the given tables; importing this package registers them all."""
 
-from quantframe.plans import panel_queries  # noqa: F401
+from quantframe.plans import evaluation_queries, panel_queries  # noqa: F401
 from quantframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

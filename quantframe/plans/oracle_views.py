@@ -111,3 +111,29 @@ FEATURES_AND_EMAS = f"{FEATURES},\n{_recursive_means()}"
 
 def rounded(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+
+BUY_AT, SELL_AT = "0.4418490104448511::DOUBLE", "0.5264213424699449::DOUBLE"
+BULL, BEAR = "0.0053093753051493085::DOUBLE", "(-0.005749496635898443::DOUBLE)"
+
+SIGNALS = f"""{BARS},
+scored AS MATERIALIZED (
+ SELECT ticker, date, bar_no, close, volume, ln(close / lag(close) OVER w) / 100 AS ret_1d,
+   ln(lead(close) OVER w / close) / 100 AS fwd_log_return,
+   volume / 125.0::DOUBLE AS prob_buy, (1 - volume / 125.0::DOUBLE) * low / high AS prob_sell
+ FROM bars WHERE ticker <> 'VIX' WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+signals AS (
+ SELECT *, CASE WHEN prob_sell >= {SELL_AT} THEN -1 WHEN prob_buy >= {BUY_AT} THEN 1 ELSE 0 END AS y_pred FROM scored)"""
+
+OUTCOMES = f"""{SIGNALS},
+limits AS (SELECT quantile_cont(fwd_log_return, 0.66) AS high, quantile_cont(fwd_log_return, 0.33) AS low FROM signals),
+outcomes AS MATERIALIZED (
+ SELECT s.*, CASE WHEN fwd_log_return > high THEN 1 WHEN fwd_log_return < low THEN -1 ELSE 0 END AS y_true
+ FROM signals s, limits WHERE fwd_log_return IS NOT NULL)"""
+
+DAILY = f"""{OUTCOMES},
+daily AS (
+ SELECT date, avg(fwd_log_return) AS market_return,
+   avg(CASE y_pred WHEN 1 THEN fwd_log_return WHEN -1 THEN -fwd_log_return ELSE 0 END) AS strategy_return
+ FROM outcomes GROUP BY date),
+valued AS (SELECT *, exp(sum(strategy_return) OVER (ORDER BY date)) AS equity FROM daily),
+curve AS (SELECT *, max(equity) OVER (ORDER BY date) AS running_max FROM valued)"""

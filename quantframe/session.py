@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ def get_session(app: str = "quantframe", cores: str | None = None, **conf: str)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
     )
@@ -30,22 +32,29 @@ def get_session(app: str = "quantframe", cores: str | None = None, **conf: str)
     return spark
 
 
+_LOCAL_FOLDERS: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: the session's checkpoint folder, or a local one in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SPARK_CHECKPOINT_DIR")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="quantframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder = tempfile.TemporaryDirectory(prefix="quantframe-")
+    _LOCAL_FOLDERS.append(folder)  # removed when the process ends
+    spark.conf.set("spark.checkpoint.dir", folder.name)
+    return folder.name
+
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches or jobs read to the shared folder and read it back.
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a frame that several later jobs read."""
+    Later readers scan only the columns they need, and a lost executor costs a re-read instead of
+    a recomputation of everything upstream.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
