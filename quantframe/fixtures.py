@@ -112,3 +112,45 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     known = staged(signals(spark, sf_dir).filter(F.col("fwd_log_return").isNotNull()))
     return label_by_quantiles(known, quantile_thresholds(known), name="y_true")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pending prediction per scored bar."""
+    from quantframe.functions.signals import conviction
+
+    scored = signals(spark, sf_dir)
+    zones = conviction(F.col("prob_buy"), F.col("prob_sell"), BUY_AT, SELL_AT)
+    return scored.select(
+        F.concat(F.col("ticker"), F.lit("#"), F.lpad(F.col("bar_no").cast("string"), 9, "0")).alias("id"),
+        F.date_add("date", 1).alias("prediction_date"),
+        F.col("date").alias("signal_date"),
+        "ticker",
+        zones["ml_decision"].alias("quant_decision"),
+        zones["probability"].alias("quant_probability"),
+        zones["conviction_zone"].alias("conviction_zone"),
+        F.lit("volume,range").alias("top_drivers"),
+        F.col("close").alias("pred_close_price"),
+        zones["leaning_action"].alias("llm_verdict"),
+        F.lit(None).cast("double").alias("actual_close_price"),
+        F.lit(None).cast("double").alias("realized_return"),
+        F.lit("PENDING").alias("reconciliation_status"),
+    )
+
+
+def verdict_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External answers and the news flag of each scored bar, by volume."""
+    scored = signals(spark, sf_dir)
+    v = F.col("volume")
+    return scored.select(
+        "ticker", "date", (v > 60).alias("has_news"),
+        F.when(v > 95, F.lit(None)).when(v > 80, " buy now ").when(v > 70, "Sell.").when(v > 40, "hold")
+        .otherwise("unsure").alias("answer"),
+    )
+
+
+def price_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as price ticks; windows work on the zone-less timestamp as it is."""
+    return table(spark, sf_dir, "events").select(
+        base_ticker(F.col("user_id")).alias("ticker"), "ts", F.col("event_id").alias("seq"),
+        F.col("value").alias("price"), F.lit(1.0).alias("qty"),
+    )
