@@ -154,3 +154,172 @@ def price_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         base_ticker(F.col("user_id")).alias("ticker"), "ts", F.col("event_id").alias("seq"),
         F.col("value").alias("price"), F.lit(1.0).alias("qty"),
     )
+
+
+def _published_at(number: Column) -> Column:
+    return F.lit(NEWS_EPOCH) + F.pmod(number * 3600, F.lit(NEWS_SPAN))
+
+
+def news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as news items; some have no ticker."""
+    n = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("source").alias("url"), _published_at(n).alias("published_at"),
+        F.when(F.pmod(n, F.lit(17)) == 0, F.array().cast("array<string>"))
+        .otherwise(F.array(base_ticker(n))).alias("tickers"),
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News items as JSON messages; some are cut short."""
+    body = F.to_json(F.struct("text", "published_at", "url", "tickers"))
+    cut = F.substring(body, F.lit(2), F.length(body))
+    return news(spark, sf_dir).select(
+        "doc_id", F.when(F.pmod(F.col("doc_id"), F.lit(19)) == 0, cut).otherwise(body).alias("body")
+    )
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw articles: the first words are the title, the rest the description."""
+    n = F.col("doc_id")
+    removed = F.col("source") == "src6"
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(removed, "[Removed]").otherwise(F.concat(F.lit(" \n"), F.substring("text", 1, 60))).alias("title"),
+        F.substring(F.col("text"), F.lit(61), F.length("text")).alias("description"),
+        F.col("source").alias("url"),
+        F.concat(F.lit("2024-01-"), F.lpad((F.pmod(n, F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("T10:30:15Z"))
+        .alias("publishedAt"),
+        base_ticker(n).alias("ticker"),
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as vector records, their text and metadata taken from documents and labels."""
+    documents = news(spark, sf_dir).select("doc_id", "text", "url", "published_at")
+    marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    total = documents.agg(F.count(F.lit(1))).scalar()
+    n = F.col("vec_id")
+    own = table(spark, sf_dir, "embeddings").select(
+        n.alias("id"), "embedding", "label", F.pmod(n, total).alias("doc_id"),
+        F.when(F.pmod(n, F.lit(5)) != 0, "fin_news_v1")
+        .otherwise(F.concat(F.lit("tenant_t"), F.pmod(n, F.lit(3)))).alias("namespace"),
+    )
+    return own.join(documents, "doc_id").join(marks, "doc_id", "left").select(
+        "namespace", "id", "embedding", "label", "text", F.lit("news_api").alias("source"), "url", "published_at",
+        F.when(F.col("quality") == 1, "POSITIVE").when(F.col("quality") == 0, "NEGATIVE").alias("sentiment"),
+        (F.col("quality") * 0.5 + 0.25).alias("sentiment_score"),
+        base_ticker(F.col("doc_id")).alias("ticker_principal"),
+        base_ticker(F.col("doc_id")).alias("tickers_relacionados"),
+    )
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per embedding label: its mean vector, a benchmark text, a tenant and a ticker."""
+    from quantframe.functions.vectors import centroids
+
+    means = centroids(table(spark, sf_dir, "embeddings"), "label")
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("label"), F.col("text").alias("query_text"))
+    return means.join(texts, "label").select(
+        F.col("label").cast("long").alias("query_id"), "vector", "query_text",
+        F.concat(F.lit("t"), F.pmod("label", F.lit(3))).alias("tenant_id"),
+        base_ticker(F.col("label")).alias("ticker"),
+    )
+
+
+def alert_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as alert requests; some break a rule."""
+    n = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        n.alias("alert_id"), F.concat(F.lit("t"), F.pmod("c_nationkey", F.lit(3))).alias("tenant_id"),
+        n.cast("string").alias("user_id"),
+        F.when(F.pmod(n, F.lit(29)) == 0, "").otherwise(F.lower(base_ticker(F.col("c_nationkey")))).alias("ticker"),
+        (F.col("c_acctbal") / 20).alias("target_price"),
+        F.when(F.pmod(n, F.lit(23)) == 0, "equal").when(F.pmod(n, F.lit(2)) == 0, "above").otherwise("below")
+        .alias("condition"),
+    )
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as stored alerts."""
+    n = F.col("c_custkey")
+    state = F.element_at(F.array(F.lit("active"), F.lit("triggered"), F.lit("cancelled")), (F.pmod(n, F.lit(3)) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        n.alias("alert_id"), F.concat(F.lit("t"), F.pmod("c_nationkey", F.lit(3))).alias("tenant_id"),
+        n.cast("string").alias("user_id"), base_ticker(F.col("c_nationkey")).alias("ticker"),
+        (F.abs("c_acctbal") / 20).alias("target_price"),
+        F.when(F.pmod(n, F.lit(2)) == 0, "above").otherwise("below").alias("condition"), state.alias("status"),
+    )
+
+
+def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a change log; every seventh event comes from a stranger."""
+    ops = F.create_map(*[F.lit(x) for x in ("signup", "create", "click", "update", "purchase", "trigger", "error", "cancel")])
+    return table(spark, sf_dir, "events").filter(F.col("event_type") != "view").select(
+        F.col("user_id").alias("alert_id"), F.col("event_id").alias("seq"), ops[F.col("event_type")].alias("op"),
+        F.col("value").alias("target_price"), F.lit("t0").alias("tenant_id"),
+        F.when((F.col("event_type") != "signup") & (F.pmod("event_id", F.lit(7)) == 0), "stranger")
+        .otherwise(F.col("user_id").cast("string")).alias("user_id"),
+    )
+
+
+def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades as paper orders, one account per customer; ``TRADE_ORDER`` orders them."""
+    return trades(spark, sf_dir).select(
+        F.concat(F.lit("t"), F.pmod("o_custkey", F.lit(3))).alias("tenant_id"),
+        F.col("o_custkey").cast("string").alias("user_id"), base_ticker(F.col("l_partkey")).alias("ticker"),
+        F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("action"),
+        F.col("qty").alias("quantity"), "price", *TRADE_ORDER,
+    )
+
+
+# models of the answers; the last two are not priced
+ANSWER_MODELS = [
+    "gemini-3.5-flash", "gemini-3.1-pro-preview", "gemini-2.5-pro", "gemini-2.5-flash", "gemini-3.1-flash-lite",
+    "local-model", "failed_all",
+]
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as charged answers of three users."""
+    models = F.array(*[F.lit(m) for m in ANSWER_MODELS])
+    return table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select(
+        F.concat(F.lit("u"), F.pmod("conv_id", F.lit(3))).alias("user_id"), "conv_id", "turn",
+        F.element_at(models, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)) + 1).cast("int")).alias("model"),
+        (F.pmod(F.col("conv_id") * F.col("turn"), F.lit(5)) == 3).alias("is_cached"),
+    )
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as recorded tool calls; expected is a name or a JSON list of names."""
+    from quantframe.sources.files import as_tool_array
+
+    n = F.col("conv_id") + F.col("turn")
+    tools = ["set_price_alert", "get_user_alerts", "execute_paper_trade", "none"]
+    called = F.array(*[F.lit(t) for t in tools])
+    expected = F.when(F.pmod(n, F.lit(3)) == 0, '["set_price_alert", "get_user_alerts"]').when(
+        F.pmod(n, F.lit(3)) == 1, "execute_paper_trade").otherwise("none")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", as_tool_array(expected).alias("expected_tool"),
+        F.when(F.pmod(n, F.lit(13)) == 0, "API_ERROR")
+        .otherwise(F.element_at(called, (F.pmod(n, F.lit(4)) + 1).cast("int"))).alias("called_tool"),
+    )
+
+
+def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns with judge scores; some judgements failed."""
+    failed = F.pmod("conv_id", F.lit(11)) == 0
+    return table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select(
+        "conv_id", "turn",
+        F.when(~failed, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) / 4.0).alias("faithfulness"),
+        F.when(~failed, F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(9)) / 8.0).alias("relevance"),
+    )
+
+
+def rate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests; views carry no authorization."""
+    from quantframe.operators.chat import rate_key
+
+    auth = F.when(F.col("event_type") != "view", F.concat(F.lit("user-"), F.col("user_id")))
+    address = F.concat(F.lit("10.0.0."), F.pmod("user_id", F.lit(250)))
+    return table(spark, sf_dir, "events").select(rate_key(auth, address).alias("caller"), "ts", "event_id")

@@ -82,9 +82,8 @@ def epoch(iso: Column) -> Column:
 
 def epoch_ntz(seconds: Column) -> Column:
     """Epoch seconds as a zone-less UTC timestamp, whatever the session's zone."""
-    whole = F.floor(seconds)
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (seconds - whole + whole).cast("decimal(18,6)"))
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
 def float_text(value: Column) -> Column:

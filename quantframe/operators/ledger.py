@@ -1,0 +1,110 @@
+"""Paper-trading ledger.
+
+Whether an order is accepted depends on every accepted order of the account before it, so an
+account is folded in order.  Accounts run in parallel; inside a task the fold streams over
+sorted Arrow batches and holds one account's cash and positions, never its orders.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+START_CASH = 100000.0
+EXPOSURE_LIMIT = 0.5
+
+
+class Account:
+    """Cash and positions of one account while its orders are replayed."""
+
+    def __init__(self, cash: float = START_CASH) -> None:
+        self.cash = cash
+        self.positions: dict[str, tuple[float, float]] = {}
+
+    def apply(self, ticker: str, action: str, quantity: float, price: float | None) -> str | None:
+        """Execute one order; the reason of a rejection, or None."""
+        if action not in ("BUY", "SELL"):
+            return "invalid action"
+        if not quantity > 0:
+            return "invalid quantity"
+        if price is None or price != price or price == 0:
+            return "no price"
+        held, cost = self.positions.get(ticker, (0.0, 0.0))
+        total = quantity * price
+        if action == "BUY":
+            if self.cash < total:
+                return "insufficient cash"
+            self.cash -= total
+            grown = held + quantity
+            self.positions[ticker] = (grown, (held * cost + total) / grown if held else price)
+            return None
+        if held < quantity:
+            return "insufficient holdings"
+        self.cash += total
+        if held == quantity:
+            del self.positions[ticker]
+        else:
+            self.positions[ticker] = (held - quantity, cost)
+        return None
+
+
+REPLAY_SCHEMA = (
+    "tenant_id string, user_id string, order_no long, ticker string, action string, quantity double, price double,"
+    " total_amount double, status string, reason string, cash_before double, cash_after double,"
+    " position_quantity double, average_buy_price double"
+)
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    owner, account, number = None, Account(), 0
+    for batch in batches:
+        out = []
+        columns = (batch[c].tolist() for c in ("tenant_id", "user_id", "ticker", "action", "quantity", "price"))
+        for tenant, user, ticker, action, quantity, price in zip(*columns):
+            if owner != (tenant, user):
+                owner, account, number = (tenant, user), Account(), 0
+            number += 1
+            before = account.cash
+            reason = account.apply(ticker, action, quantity, price)
+            held, cost = account.positions.get(ticker, (0.0, 0.0))
+            total = None if price is None or price != price else quantity * price
+            status = "rejected" if reason else "accepted"
+            out.append(
+                (tenant, user, number, ticker, action, quantity, price, total, status, reason, before, account.cash, held, cost)
+            )
+        yield pd.DataFrame(out, columns=[field.split()[0] for field in REPLAY_SCHEMA.split(", ")])
+
+
+def ledger_replay(orders: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Orders (tenant_id, user_id, ticker, action, quantity, price) with their outcome and balances."""
+    ready = orders.withColumns({"action": F.upper("action"), "ticker": F.upper("ticker")})
+    sorted_orders = ready.repartition("tenant_id", "user_id").sortWithinPartitions("tenant_id", "user_id", *order)
+    columns = ["tenant_id", "user_id", "ticker", "action", "quantity", "price"]
+    return sorted_orders.select(*columns).mapInPandas(_replay, REPLAY_SCHEMA)
+
+
+def portfolio_status(replayed: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Cash of every account with its open positions (one row per position, or one with none)."""
+    key = ["tenant_id", "user_id"]
+    cash = replayed.groupBy(*key).agg(F.max_by("cash_after", "order_no").alias("cash"))
+    positions = (
+        replayed.groupBy(*key, "ticker")
+        .agg(F.max_by(F.struct("position_quantity", "average_buy_price"), "order_no").alias("_p"))
+        .select(*key, "ticker", F.col("_p.position_quantity").alias("quantity"), "_p.average_buy_price")
+        .filter(F.col("quantity") > 0)
+    )
+    return (
+        accounts.select(*key)
+        .join(cash, key, "left")
+        .withColumn("cash", F.coalesce("cash", F.lit(START_CASH)))
+        .join(positions, key, "left")
+    )
+
+
+def exposure_flag(replayed: DataFrame, limit: float = EXPOSURE_LIMIT) -> DataFrame:
+    """Buy orders that would take more than half of the cash at hand."""
+    heavy = (F.col("action") == "BUY") & (F.col("total_amount") > F.col("cash_before") * limit)
+    return replayed.withColumn("exposure_warning", F.coalesce(heavy, F.lit(False)))

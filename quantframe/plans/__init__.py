@@ -1,6 +1,12 @@
 """Runnable queries over the given tables; importing this package registers them all."""
 
-from quantframe.plans import evaluation_queries, market_queries, panel_queries  # noqa: F401
+from quantframe.plans import (  # noqa: F401
+    account_queries,
+    evaluation_queries,
+    market_queries,
+    panel_queries,
+    text_queries,
+)
 from quantframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
