@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantframe.functions.reports import COLD_NEWS, NO_NEWS, age_label, news_line
 from quantframe.functions.text import REMOVED, fixed_chunks, recursive_chunks, strip, vector_id
@@ -34,7 +35,7 @@ def validate_news(messages: DataFrame, body: str = "body") -> DataFrame:
     Adds the parsed fields and ``reason``: null for a valid message, else why it goes to the
     dead-letter table.
     """
-    schema = NEWS.add(CORRUPT, "string")
+    schema = T.StructType([*NEWS.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = messages.withColumn("_n", F.from_json(body, schema, {"columnNameOfCorruptRecord": CORRUPT}))
     item = parsed.withColumns(
         {
