@@ -4,6 +4,7 @@ from quantframe.plans import (  # noqa: F401  (stream queries reuse earlier twin
     account_queries,
     evaluation_queries,
     market_queries,
+    model_queries,
     panel_queries,
     text_queries,
     stream_queries,
