@@ -39,7 +39,7 @@ def train_classifier(
         learner = RandomForestClassifier(**common, **{"numTrees": 20, "maxDepth": 4, "seed": 1, **params})
     elif kind == "logistic":
         learner = LogisticRegression(
-            **common, **{"family": "multinomial", "regParam": 0.01, "maxIter": 30, **params}
+            **common, **{"family": "multinomial", "regParam": 0.05, "maxIter": 20, "tol": 1e-4, **params}
         )
     else:
         raise ValueError("kind is 'forest' or 'logistic'")

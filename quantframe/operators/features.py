@@ -61,11 +61,6 @@ def _full(value: Column, n: int, first: int = 1) -> Column:
     return F.when(F.col("_rn") >= n + first - 1, value)
 
 
-def _pairs(n: int) -> Column:
-    both = F.when(F.col("ret_1d").isNotNull() & F.col("ret_spy_1d").isNotNull(), F.lit(1))
-    return F.count(both).over(_roll(n))
-
-
 def _ewm_layers(layers: Layers, at: int, value: Column, name: str, span: float, adjust: bool) -> None:
     """Register the mean ``name`` of ``value``; it is ready in layer ``at + 2``."""
     rn = F.col("_rn")
@@ -95,39 +90,64 @@ def _relative_strength(x: Layers) -> None:
     x[1]["rel_strength_14d"] = F.col("ret_14d") - F.col("ret_spy_14d")
 
 
-def _beta_frames(x: Layers) -> None:
-    r, m = F.col("ret_1d"), F.col("ret_spy_1d")
-    both = r.isNotNull() & m.isNotNull()
-    x[1]["_pairs"] = _pairs(20)
-    x[1]["_cov"] = F.covar_samp(r, m).over(_roll(20))
-    x[1]["_sd_r"] = F.stddev_samp(F.when(both, r)).over(_roll(20))
-    x[1]["_sd_m"] = F.stddev_samp(F.when(both, m)).over(_roll(20))
-    x[1]["_n_m"] = F.count(m).over(_roll(20))
-    x[1]["_var_m"] = F.var_samp(m).over(_roll(20))
+_MOMENTS = {
+    "_r": lambda: F.col("ret_1d"),
+    "_m": lambda: F.col("ret_spy_1d"),
+    "_rm": lambda: F.col("ret_1d") * F.col("ret_spy_1d"),
+    "_rr": lambda: F.col("ret_1d") * F.col("ret_1d"),
+    "_mm": lambda: F.col("ret_spy_1d") * F.col("ret_spy_1d"),
+    "_abs": lambda: F.abs(F.col("ret_1d")),
+}
+_DAYS = 20
+
+
+def _moments(x: Layers, names: Iterable[str]) -> None:
+    """Twenty-row sums ``<name>20`` as two ten-row sums; ``_n<name>`` counts the non-null inputs.
+
+    Returns centre on zero, so plain sums of squares keep their precision.
+    """
+    zero = F.lit(0.0)
+    for name in names:
+        value = _MOMENTS[name]()
+        x[1][f"{name}10"] = F.sum(F.coalesce(value, zero)).over(_roll(10))
+        x[2][f"{name}20"] = F.col(f"{name}10") + F.coalesce(_lag(f"{name}10", 10), zero)
+        if name in ("_r", "_rm"):
+            x[1][f"_n{name}10"] = F.count(value).over(_roll(10))
+            x[2][f"_n{name}"] = F.col(f"_n{name}10") + F.coalesce(_lag(f"_n{name}10", 10), F.lit(0))
+
+
+def _spread(square: str, value: str) -> Column:
+    """Sum of squared deviations; rounding residue of a constant input counts as zero."""
+    total = F.col(f"{square}20")
+    rest = total - F.col(f"{value}20") * F.col(f"{value}20") / _DAYS
+    return F.when(rest > total * 1e-13, rest).otherwise(F.lit(0.0))
+
+
+def _cross() -> Column:
+    return F.col("_rm20") - F.col("_r20") * F.col("_m20") / _DAYS
 
 
 def _rolling_beta(x: Layers) -> None:
-    _beta_frames(x)
-    ready = (F.col("_pairs") == 20) & (F.col("_n_m") == 20)
-    x[2]["beta_20d"] = F.when(ready, F.try_divide(F.col("_cov"), F.col("_var_m") + F.lit(EPS)))
+    _moments(x, ("_r", "_m", "_rm", "_mm"))
+    variance = _spread("_mm", "_m") / (_DAYS - 1)
+    x[3]["beta_20d"] = F.when(F.col("_n_rm") == _DAYS, F.try_divide(_cross() / (_DAYS - 1), variance + F.lit(EPS)))
 
 
 def _rolling_corr(x: Layers) -> None:
-    _beta_frames(x)
-    x[2]["spy_corr_20d"] = F.when(
-        F.col("_pairs") == 20, F.try_divide(F.col("_cov"), F.col("_sd_r") * F.col("_sd_m"))
-    )
+    _moments(x, ("_r", "_m", "_rm", "_rr", "_mm"))
+    scale = F.sqrt(_spread("_rr", "_r")) * F.sqrt(_spread("_mm", "_m"))
+    x[3]["spy_corr_20d"] = F.when(F.col("_n_rm") == _DAYS, F.try_divide(_cross(), scale))
 
 
 def _rolling_vol(x: Layers) -> None:
-    r = F.col("ret_1d")
-    x[1]["vol_20d_std"] = F.when(F.count(r).over(_roll(20)) == 20, F.stddev_samp(r).over(_roll(20)))
+    _moments(x, ("_r", "_rr"))
+    x[3]["vol_20d_std"] = F.when(F.col("_n_r") == _DAYS, F.sqrt(_spread("_rr", "_r") / (_DAYS - 1)))
 
 
 def _vol_shock(x: Layers) -> None:
-    r = F.abs(F.col("ret_1d"))
-    x[1]["_abs_mean"] = F.when(F.count(r).over(_roll(20)) == 20, F.avg(r).over(_roll(20)))
-    x[2]["vol_shock_z"] = F.try_divide(r - F.col("_abs_mean"), F.col("vol_20d_std") + F.lit(EPS))
+    _moments(x, ("_r", "_abs"))
+    mean = F.when(F.col("_n_r") == _DAYS, F.col("_abs20") / _DAYS)
+    x[4]["vol_shock_z"] = F.try_divide(F.abs(F.col("ret_1d")) - mean, F.col("vol_20d_std") + F.lit(EPS))
 
 
 def _price_accel(x: Layers) -> None:
@@ -139,14 +159,16 @@ def _vix_divergence(x: Layers) -> None:
 
 
 def _sma_columns(x: Layers) -> None:
-    """Simple means; the long ones are sums of ten-row sums, so the frame stays ten rows wide."""
+    """Simple means; a long sum adds up lagged shorter ones, so no frame is wider than ten rows."""
     x[0]["_s9"] = F.avg("close").over(_roll(9))
     x[0]["_sum10"] = F.sum("close").over(_roll(10))
-    for n in (20, 50, 200):
-        total = F.col("_sum10")
-        for step in range(10, n, 10):
-            total = total + _lag("_sum10", step)
-        x[1][f"_s{n}"] = total / F.lit(float(n))
+    steps = {20: (10, 1), 50: (10, 1), 200: (50, 2)}  # sum -> (shorter sum, layer)
+    for n, (short, layer) in steps.items():
+        total = F.col(f"_sum{short}")
+        for step in range(short, n, short):
+            total = total + _lag(f"_sum{short}", step)
+        x[layer][f"_sum{n}"] = total
+        x[layer + 1][f"_s{n}"] = F.col(f"_sum{n}") / F.lit(float(n))
 
 
 def _sma(n: int) -> Column:
@@ -156,7 +178,7 @@ def _sma(n: int) -> Column:
 def _dist_sma(x: Layers) -> None:
     _sma_columns(x)
     for n in AVERAGES:
-        x[2][f"dist_sma_{n}"] = F.try_divide(F.col("close") - _sma(n), _sma(n))
+        x[4][f"dist_sma_{n}"] = F.try_divide(F.col("close") - _sma(n), _sma(n))
 
 
 def _dist_ema(x: Layers) -> None:
@@ -173,7 +195,7 @@ def _cross_ema(x: Layers) -> None:
 
 def _cross_sma(x: Layers) -> None:
     _sma_columns(x)
-    x[2]["cross_sma_50_200"] = F.try_divide(_sma(50), _sma(200))
+    x[4]["cross_sma_50_200"] = F.try_divide(_sma(50), _sma(200))
 
 
 def _bollinger(x: Layers) -> None:
@@ -181,19 +203,22 @@ def _bollinger(x: Layers) -> None:
     x[0]["_sd20"] = F.stddev_samp("close").over(_roll(20))
     mid, dev = _sma(20), _full(F.col("_sd20"), 20) * F.lit(2)
     upper, lower = mid + dev, mid - dev
-    x[2]["bb_width"] = F.try_divide(upper - lower, mid)
-    x[2]["bb_pct_b"] = F.try_divide(F.col("close") - lower, upper - lower + F.lit(EPS))
+    x[4]["bb_width"] = F.try_divide(upper - lower, mid)
+    x[4]["bb_pct_b"] = F.try_divide(F.col("close") - lower, upper - lower + F.lit(EPS))
 
 
 def _rsi(x: Layers) -> None:
     delta = F.coalesce(F.col("close") - _lag("close", 1), F.lit(0.0))
     x[0]["_gain"] = F.greatest(delta, F.lit(0.0))
     x[0]["_loss"] = F.greatest(-delta, F.lit(0.0))
+    for side in ("_gain", "_loss"):
+        x[1][f"{side}7"] = F.sum(side).over(_roll(7))
+        x[1][f"{side}9"] = F.sum(side).over(_roll(9))
+        x[2][f"{side}14"] = F.col(f"{side}7") + _lag(f"{side}7", 7)
+        x[2][f"{side}21"] = F.col(f"{side}7") + _lag(f"{side}7", 7) + _lag(f"{side}7", 14)
     for n in RSI_PERIODS:
-        x[1][f"_up{n}"] = F.avg("_gain").over(_roll(n))
-        x[1][f"_down{n}"] = F.avg("_loss").over(_roll(n))
-        strength = F.col(f"_up{n}") / (F.col(f"_down{n}") + F.lit(EPS))
-        x[2][f"rsi_{n}"] = _full(F.lit(100) - F.lit(100) / (F.lit(1) + strength), n)
+        strength = F.col(f"_gain{n}") / n / (F.col(f"_loss{n}") / n + F.lit(EPS))
+        x[3][f"rsi_{n}"] = _full(F.lit(100) - F.lit(100) / (F.lit(1) + strength), n)
 
 
 def _macd(x: Layers) -> None:
@@ -217,8 +242,9 @@ def _natr(x: Layers) -> None:
     x[0]["_tr"] = F.greatest(
         F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)
     )
-    x[1]["_atr"] = F.avg("_tr").over(_roll(14))
-    x[2]["natr_14"] = _full(F.try_divide(F.col("_atr"), F.col("close")), 14)
+    x[1]["_tr7"] = F.sum("_tr").over(_roll(7))
+    x[2]["_tr14"] = F.col("_tr7") + _lag("_tr7", 7)
+    x[3]["natr_14"] = _full(F.try_divide(F.col("_tr14") / 14, F.col("close")), 14)
 
 
 def _forward_return(x: Layers) -> None:
@@ -261,33 +287,37 @@ def number_bars(bars: DataFrame, ordinal: str = "bar_no") -> DataFrame:
     return with_ordinal(bars, ["ticker"], ["date"], [date_bucket("date")], ordinal)
 
 
+BROADCAST_ROWS = 500_000  # dates; two doubles and a date each, about 15 MB
+
+
 def series_returns(bars: DataFrame, symbol: str, lags: dict[str, int]) -> DataFrame:
-    """Log returns of one symbol by date, one row per date."""
-    one = number_bars(bars.filter(F.col("ticker") == symbol).dropDuplicates(["date"]).select(
-        "ticker", "date", "close", *(["bar_no"] if "bar_no" in bars.columns else [])
-    ))
+    """Log returns of one symbol by date, the first row per date."""
+    columns = ["ticker", "date", "close", *(["bar_no"] if "bar_no" in bars.columns else [])]
+    one = number_bars(bars.filter(F.col("ticker") == symbol).select(*columns))
     blocks = halo_blocks(one, ["ticker"], "bar_no", block=8192, halo=max(lags.values()), lead=False)
     window = Window.partitionBy("ticker", "_blk").orderBy("bar_no")
-    return blocks.select(
-        "date",
-        "_own",
-        *[
-            F.ln(F.try_divide(F.col("close"), F.lag("close", n).over(window))).alias(name)
-            for name, n in lags.items()
-        ],
-    ).filter("_own").drop("_own")
+    shifted = {name: F.ln(F.try_divide(F.col("close"), F.lag("close", n).over(window))) for name, n in lags.items()}
+    own = blocks.withColumns(shifted).filter("_own")
+    first = own.groupBy("date").agg(F.min_by(F.struct(*lags), "bar_no").alias("_r"))
+    return first.select("date", "_r.*")
+
+
+def _join_by_date(panel: DataFrame, bars: DataFrame, symbol: str, lags: dict[str, int]) -> DataFrame:
+    """Left join of a symbol's returns: broadcast when its history is checked to be short, else by shuffle."""
+    returns = series_returns(bars, symbol, lags)
+    rows = bars.filter(F.col("ticker") == symbol).select(F.lit(1)).limit(BROADCAST_ROWS + 1).count()
+    return panel.join(F.broadcast(returns) if rows <= BROADCAST_ROWS else returns, "date", "left")
 
 
 def benchmark_join(bars: DataFrame, symbol: str = "SPY", source: DataFrame | None = None) -> DataFrame:
     """Left-join the benchmark's 1- and 14-row log returns by date."""
-    spy = series_returns(bars if source is None else source, symbol, {"ret_spy_1d": 1, "ret_spy_14d": 14})
-    return bars.join(spy, "date", "left")
+    lags = {"ret_spy_1d": 1, "ret_spy_14d": 14}
+    return _join_by_date(bars, bars if source is None else source, symbol, lags)
 
 
 def macro_join(bars: DataFrame, symbol: str = "VIX", source: DataFrame | None = None) -> DataFrame:
     """Left-join the volatility index's log return by date."""
-    vix = series_returns(bars if source is None else source, symbol, {"vix_return": 1})
-    return bars.join(vix, "date", "left")
+    return _join_by_date(bars, bars if source is None else source, symbol, {"vix_return": 1})
 
 
 def vix_momentum(bars: DataFrame, symbol: str = "VIX") -> DataFrame:

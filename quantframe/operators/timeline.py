@@ -20,6 +20,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantframe.session import staged
+
 UNBOUNDED = Window.unboundedPreceding
 
 
@@ -43,24 +45,27 @@ def with_ordinal(
     """Add the exact 1-based position of each row inside its key.
 
     ``buckets`` go from coarse to fine and must be monotone in ``order``.  Equal to
-    ``row_number() over (partition by keys order by order)``.
+    ``row_number() over (partition by keys order by order)``.  Reads ``df`` twice, the second time
+    with the key and bucket columns only.
     """
     keys = list(keys)
     names = [f"_b{i}" for i in range(len(buckets))]
     df = df.withColumns(dict(zip(names, buckets)))
     local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)))
 
-    offsets = df.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n")).withColumn("_offset", F.lit(0).cast("long"))
+    counts = df.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    if len(names) > 1:
+        counts = staged(counts)  # read once per level
+    offsets, totals = counts.withColumn("_offset", F.lit(0).cast("long")), counts
     for level in range(len(names) - 1, -1, -1):
         parent = [*keys, *names[:level]]
-        totals = offsets.groupBy(*parent, names[level]).agg(F.sum("_n").alias("_t"))
         before = Window.partitionBy(*parent).orderBy(names[level]).rowsBetween(UNBOUNDED, -1)
-        starts = totals.select(
-            *parent, names[level], F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start")
-        )
+        start = F.coalesce(F.sum("_n").over(before), F.lit(0))
         if level == len(names) - 1:
-            offsets = offsets.drop("_offset").join(starts, [*parent, names[level]]).withColumnRenamed("_start", "_offset")
+            offsets = offsets.withColumn("_offset", start)
         else:
+            totals = totals.groupBy(*parent, names[level]).agg(F.sum("_n").alias("_n"))
+            starts = totals.select(*parent, names[level], start.alias("_start"))
             offsets = (
                 offsets.join(starts, [*parent, names[level]])
                 .withColumn("_offset", F.col("_offset") + F.col("_start"))

@@ -86,7 +86,7 @@ c AS (SELECT ticker, date, {', '.join(f'{w}::DOUBLE * ({c} - m_{c}) AS {c}' for
 def _linear(spark: SparkSession, sf_dir: str):
     frame = ft.feature_frame(fixtures.bars(spark, sf_dir), ["log_returns", "candles"])
     rows = staged(frame.select("ticker", "date", *LINEAR).dropna(subset=["ret_1d"]))
-    means = rows.agg(F.struct(*[F.avg(c).alias(c) for c in LINEAR])).scalar()
+    means = rows.agg(*[F.avg(c).alias(c) for c in LINEAR]).first()  # fitted with the model: one number per feature
     return rows, models.linear_contributions(LINEAR, {c: means[c] for c in LINEAR})
 
 
@@ -188,11 +188,17 @@ def _reconciled(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
     return staged(pr.apply_reconciliation(predictions, done))
 
 
+def _day(bars: DataFrame):
+    """Last date on which both the benchmark and the volatility index have a bar."""
+    ends = bars.filter(F.col("ticker").isin("SPY", "VIX")).groupBy("ticker").agg(F.max("date").alias("last"))
+    return ends.agg(F.min("last")).scalar()
+
+
 @query("light_retrain")
 def light_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = fixtures.bars(spark, sf_dir)
     panel = staged(ft.feature_panel(bars))
-    day = bars.agg(F.max("date")).scalar()
+    day = _day(bars)
     champion = _champion(panel)
     report, _ = jobs.light_retrain(bars, _reconciled(spark, sf_dir, bars), champion, day, SMALL)
     return report
@@ -202,9 +208,10 @@ def light_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heavy_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = fixtures.bars(spark, sf_dir)
     panel = staged(ft.feature_panel(bars))
-    day = bars.filter(F.col("ticker") != "VIX").agg(F.max("date")).scalar()
-    base = vd.FoldPlan(train_days=120, step_days=600, n_features=8, model=SMALL)
-    space = {**vd.SEARCH_SPACE, "n_estimators": (5, 8), "max_depth": (3, 3)}
+    day = _day(bars)
+    dates = min(panel.select("date").distinct().count(), lb.KEEP_DAYS)
+    base = vd.FoldPlan(train_days=min(252, dates // 4), step_days=dates // 2, n_features=8, model=SMALL)
+    space = {**vd.SEARCH_SPACE, "n_estimators": (5, 8), "max_depth": (3, 3), "min_child_samples": (5, 10)}
     path = f"{shared_dir(spark)}/production-{uuid.uuid4().hex}"
     return jobs.heavy_retrain(
         bars, _champion(panel), day, base, n_trials=1, n_features=8, export_to=path, min_rows=200, search_space=space
@@ -215,15 +222,15 @@ def heavy_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = fixtures.bars(spark, sf_dir)
     panel = staged(ft.feature_panel(bars))
-    day = bars.agg(F.max("date")).scalar()
+    day = _day(bars)
     first = fixtures.vector_queries(spark, sf_dir).groupBy("ticker").agg(F.min_by("vector", "query_id").alias("vector"), F.min("query_id").alias("query_id"))
     asked = first.withColumn("namespace", F.lit("fin_news_v1"))
     answers = panel.select("ticker").distinct().withColumn("answer", F.lit("buy"))
-    table = jobs.daily_inference(
+    updated = jobs.daily_inference(
         bars, staged(fixtures.predictions(spark, sf_dir)), _champion(panel), asked,
         fixtures.vectors(spark, sf_dir), answers, day, LOGICAL_DAY,
     )
-    return table.select("id", "signal_date", "ticker", "quant_decision", "conviction_zone", "top_drivers", "llm_verdict", "reconciliation_status")
+    return updated.select("id", "signal_date", "ticker", "quant_decision", "conviction_zone", "top_drivers", "llm_verdict", "reconciliation_status")
 
 
 @query("embed_text")

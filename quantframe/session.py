@@ -19,6 +19,9 @@ def get_session(app: str = "quantframe", cores: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(max(int(cores) if cores.isdigit() else 8, 1)))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # stack capture per column call is slow
+        # a method above 8000 bytecodes is never compiled; wide feature projections run faster split up
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
