@@ -7,7 +7,7 @@ import os
 import time
 
 from quantframe.plans import QUERIES
-from quantframe.session import get_session
+from quantframe.session import clear_stage, get_session
 
 HEADLINE = [
     "bars", "log_returns", "rsi", "dist_sma", "dist_ema", "macd", "rolling_beta", "feature_panel",
@@ -28,6 +28,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+    clear_stage(spark)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_seconds", "value": total, "unit": "sec", "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 

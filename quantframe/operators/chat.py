@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +30,26 @@ def message_cost(model: Column, is_cached: Column) -> Column:
     return F.when(is_cached | (model == FAILED), F.lit(0.0)).otherwise(priced)
 
 
-def credit_ledger(
-    messages: DataFrame, order: Sequence[str], bucket: Column, start: float = START_CREDITS
-) -> DataFrame:
-    """Charge, blocking and remaining credits per answer.
+LEDGER_BLOCK = 65536
+
+
+def credit_ledger(messages: DataFrame, start: float = START_CREDITS) -> DataFrame:
+    """Charge, blocking and remaining credits per answer, in order of (conv_id, turn).
 
-    ``messages`` has user_id, model and is_cached.  Credits are never topped up, so a user is
-    blocked from the first message on whose preceding costs use them up.
+    ``messages`` has user_id, conv_id, turn, model and is_cached.  Credits are never topped up, so
+    a user is blocked from the first message on whose preceding costs use them up.  Positions are
+    numbered first, so that the running sums work on blocks of equal size however long one
+    conversation or one user's history is.
     """
-    priced = staged(messages.withColumn("cost", message_cost(F.col("model"), F.col("is_cached"))))
-    before = running(priced, ["user_id"], order, bucket, sums={"_spent": F.col("cost")}, before_only=True)
+    priced = messages.withColumn("cost", message_cost(F.col("model"), F.col("is_cached")))
+    buckets = [id_bucket("conv_id"), F.col("conv_id"), id_bucket("turn", 4096)]
+    numbered = staged(with_ordinal(priced, ["user_id"], ["conv_id", "turn"], buckets, "_n"))
+    block = id_bucket("_n", LEDGER_BLOCK)
+    before = running(numbered, ["user_id"], ["_n"], block, sums={"_spent": F.col("cost")}, before_only=True)
     decided = before.withColumn("blocked", F.col("_spent") >= start).drop("_spent")
     charged = decided.withColumn("cost", F.when(F.col("blocked"), F.lit(0.0)).otherwise(F.col("cost")))
-    total = running(charged, ["user_id"], order, bucket, sums={"_paid": F.col("cost")})
-    return total.withColumn("credits_remaining", F.lit(start) - F.col("_paid")).drop("_paid")
+    total = running(charged, ["user_id"], ["_n"], block, sums={"_paid": F.col("cost")})
+    return total.withColumn("credits_remaining", F.lit(start) - F.col("_paid")).drop("_paid", "_n")
 
 
 def message_history(messages: DataFrame, bucket_width: int = 1024) -> DataFrame:

@@ -65,9 +65,11 @@ def ewm(
 ) -> DataFrame:
     """``value.ewm(span, adjust).mean()`` per key; ``ordinal`` is the dense 1-based position."""
     halo = reach(span)
-    block = block or min(8 * halo, 65536) if 8 * halo >= halo else halo
-    if block < halo or not fits(span, block + halo):
-        raise ValueError(f"span {span} needs a block of at least {halo} rows that fits {block} + {halo} rows")
+    block = block or max(8 * halo, 4096)
+    if not fits(span, block + halo):  # short spans: the shortest block whose scaled sums stay in range
+        block = 8 * halo
+    if block < halo:
+        raise ValueError(f"span {span} needs blocks of at least {halo} rows")
     blocks = halo_blocks(df, keys, ordinal, block, halo, lead=False)
     window = Window.partitionBy(*keys, "_blk").orderBy(ordinal)
     position = F.col(ordinal)

@@ -11,7 +11,6 @@ from quantframe.operators import chat as ch
 from quantframe.operators import evaluation as ev
 from quantframe.operators import ledger as lg
 from quantframe.operators import tables as tb
-from quantframe.operators.timeline import id_bucket
 from quantframe.plans.oracle_views import TICKER_SQL
 from quantframe.plans.registry import query
 from quantframe.session import staged
@@ -155,7 +154,7 @@ c AS (SELECT * REPLACE (CASE WHEN blocked THEN 0.0 ELSE cost END::DOUBLE AS cost
 SELECT user_id, conv_id, turn, cost, blocked, 100 - sum(cost) OVER (PARTITION BY user_id ORDER BY conv_id, turn) AS credits_remaining FROM c""",
 )
 def credit_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = ch.credit_ledger(fixtures.answers(spark, sf_dir), ["conv_id", "turn"], id_bucket("conv_id", 256))
+    ledger = ch.credit_ledger(fixtures.answers(spark, sf_dir))
     return ledger.select("user_id", "conv_id", "turn", "cost", "blocked", "credits_remaining")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantframe import fixtures
 from quantframe.operators import features as ft
+from quantframe.operators.ewm import ewm
 from quantframe.plans.oracle_views import BARS, BENCHMARK, EMAS, FEATURES, FEATURES_AND_EMAS, rounded
 from quantframe.plans.registry import query
 
@@ -72,6 +73,18 @@ def macro_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(joined.select("ticker", "date", "vix_return"), ["vix_return"], 9)
 
 
+@query(
+    "ewm",
+    f"WITH RECURSIVE {EMAS} SELECT ticker, date, round(n20 / d20, 6) AS ewm_adjusted, round(e20, 6) AS ewm_plain FROM emas",
+)
+def ewm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both modes of the exponentially weighted mean over twenty rows."""
+    panel = fixtures.bars(spark, sf_dir).filter(F.col("ticker") != "VIX").select("ticker", "date", "bar_no", "close")
+    both = ewm(panel, ["ticker"], "bar_no", "close", 20, adjust=True, name="ewm_adjusted")
+    both = ewm(both, ["ticker"], "bar_no", "close", 20, adjust=False, name="ewm_plain")
+    return round_all(both.select("ticker", "date", "ewm_adjusted", "ewm_plain"), ["ewm_adjusted", "ewm_plain"])
+
+
 _EMA_COLUMNS = {
     **{f"dist_ema_{n}": f"(f.close - e{n}) / e{n}" for n in ft.AVERAGES},
     "cross_ema_9_20": "(n9 / d9) / (n20 / d20)",

@@ -51,6 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.name
 
 
+def _stage_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}"
+
+
+def clear_stage(spark: SparkSession) -> None:
+    """Delete this application's staged frames; call it when no staged frame is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a frame that several branches or jobs read to the shared folder and read it back.
 
@@ -58,6 +68,6 @@ def staged(df: DataFrame) -> DataFrame:
     a recomputation of everything upstream.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,7 +28,6 @@ from quantframe.operators import quantiles as qt
 from quantframe.operators import retrieval as rt
 from quantframe.operators import tables as tb
 from quantframe.operators.evaluation import rag_scores, tool_accuracy
-from quantframe.operators.timeline import id_bucket
 from quantframe.sources import files
 
 DAY = dt.date(2024, 1, 1)
@@ -50,6 +49,7 @@ def test_exact_quantiles_match_numpy(spark, monkeypatch, small):
     if small != qt.SMALL:
         pdf = pdf[pdf.g == "a"]
         monkeypatch.setattr(qt, "SMALL", small)
+        monkeypatch.setattr(qt, "ACCURACY", 10000)
     got = qt.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", wanted).toPandas().set_index("g")
     for g, values in pdf.groupby("g")["v"]:
         for name, q in wanted.items():
@@ -278,13 +278,13 @@ def test_credits_block_once_used_up(spark):
         spent[u] = before + (0.0 if blocked else cost)
         want[c, t] = (blocked, 50.0 - spent[u])
     df = spark.createDataFrame(rows, "user_id string, conv_id long, turn long, model string, is_cached boolean")
-    got = {(r.conv_id, r.turn): (r.blocked, r.credits_remaining) for r in ch.credit_ledger(df, ["conv_id", "turn"], id_bucket("conv_id", 16), 50.0).collect()}
+    got = {(r.conv_id, r.turn): (r.blocked, r.credits_remaining) for r in ch.credit_ledger(df, 50.0).collect()}
     assert got == want
 
 
 def test_one_answer_of_a_two_credit_model(spark):
     df = spark.createDataFrame([("u", 1, 1, "gemini-3.5-flash", False)], "user_id string, conv_id long, turn long, model string, is_cached boolean")
-    assert ch.credit_ledger(df, ["conv_id", "turn"], id_bucket("conv_id")).first()["credits_remaining"] == 98.0
+    assert ch.credit_ledger(df).first()["credits_remaining"] == 98.0
 
 
 def test_evaluations_divide_by_all_cases(spark):

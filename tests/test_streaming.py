@@ -9,7 +9,6 @@ import time
 from pyspark.sql import functions as F
 
 from quantframe.operators.chat import credit_ledger
-from quantframe.operators.timeline import id_bucket
 from quantframe.streaming import jobs
 
 
@@ -52,7 +51,7 @@ def test_credit_ledger_keeps_state_between_batches(spark, tmp_path):
         stream = jobs.stream_credit_ledger(spark.readStream.schema(schema).parquet(source))
         jobs.drain(stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint))
     got = {(r.conv_id, r.turn): (r.cost, r.blocked, r.credits_remaining) for r in spark.read.parquet(out).collect()}
-    batch = credit_ledger(spark.createDataFrame(rows, schema), ["conv_id", "turn"], id_bucket("conv_id"))
+    batch = credit_ledger(spark.createDataFrame(rows, schema))
     assert got == {(r.conv_id, r.turn): (r.cost, r.blocked, r.credits_remaining) for r in batch.collect()}
     assert sum(b for _, b, _ in got.values()) == 10
 
