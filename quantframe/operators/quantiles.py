@@ -1,7 +1,7 @@
-"""Exact linear-interpolated quantiles without gathering a group in one task.
+"""Exact linear-interpolated quantiles without gathering a large group in one task.
 
-A bounded sketch brackets each wanted rank; only rows inside the bracket are ranked exactly,
-after being counted per distinct value.
+Keys with few rows use the built-in exact percentile.  For large ones a bounded sketch brackets each
+wanted rank; only rows inside the bracket are ranked exactly, after being counted per distinct value.
 """
 
 from __future__ import annotations
@@ -11,17 +11,34 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantframe.session import staged
+
 ACCURACY = 100_000
-SMALL = 2 * ACCURACY  # up to here the slack is below two ranks, so the whole (bounded) group is ranked
+SMALL = 2 * ACCURACY  # above this many rows the bracket's slack is wider than two ranks
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
     """One row per key with a column per wanted quantile (as numpy's default, linear).
 
-    Reads ``df`` three times with two columns; stage it first when it is costly.
+    Counts the rows per key first, then reads ``df`` once for small keys and twice for large ones,
+    with the key and value columns only; stage it first when it is costly.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0))
+    small, large = sizes.filter(F.col("_n") <= SMALL), sizes.filter(F.col("_n") > SMALL)
+    parts = []
+    if not large.isEmpty():
+        some = rows.join(large.select(*keys), keys, "left_semi") if keys else rows
+        parts.append(_bracketed(some, keys, wanted))
+    if not small.isEmpty() or not parts:
+        some = rows.join(small.select(*keys), keys, "left_semi") if keys and parts else rows
+        exact = some.groupBy(*keys).agg(F.percentile("_v", list(wanted.values())).alias("_q"))
+        parts.append(exact.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(wanted)]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _bracketed(rows: DataFrame, keys: list[str], wanted: Mapping[str, float]) -> DataFrame:
     whole_frame = not keys
     if whole_frame:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
@@ -36,24 +53,33 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapp
     brackets = []
     for i, (name, q) in enumerate(wanted.items()):
         # an extreme rank may lie outside the sketch's own answer, so its side stays open
-        whole = F.col("_n") <= SMALL
-        low = F.when(whole | F.lit(q - slack <= 0), F.col("_min")).otherwise(F.col("_edge")[2 * i])
-        high = F.when(whole | F.lit(q + slack >= 1), F.col("_max")).otherwise(F.col("_edge")[2 * i + 1])
+        low = F.col("_min") if q - slack <= 0 else F.col("_edge")[2 * i]
+        high = F.col("_max") if q + slack >= 1 else F.col("_edge")[2 * i + 1]
         brackets.append(
             F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), low.alias("low"), high.alias("high"))
         )
-    ranges = sketch.select(*keys, "_n", F.explode(F.array(*brackets)).alias("_r")).select(*keys, "_n", "_r.*")
-    # one key means len(wanted) rows, so they travel; otherwise the planner decides by size
+    ranges = sketch.select(*keys, "_n", F.array(*brackets).alias("_b"))
+    # a single key is a single row, so it travels; otherwise the planner decides by size
     joined = rows.join(F.broadcast(ranges) if whole_frame else ranges, keys)
-    below = joined.filter(F.col("_v") < F.col("low")).groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("_below"))
+    v = F.col("_v")
+    below = joined.groupBy(*keys).agg(
+        F.array(
+            *[
+                F.struct(F.lit(n).alias("name"), F.count(F.when(v < F.col("_b")[i]["low"], 1)).alias("_below"))
+                for i, n in enumerate(wanted)
+            ]
+        ).alias("_c")
+    )
+    below = below.select(*keys, F.explode("_c").alias("_c")).select(*keys, "_c.*")
+    hits = F.filter("_b", lambda b: v.between(b["low"], b["high"]))
     inside = (
-        joined.filter(F.col("_v").between(F.col("low"), F.col("high")))
-        .groupBy(*keys, "name", "q", "_n", "_v")
+        joined.select(*keys, "_n", "_v", F.explode(hits).alias("_r"))
+        .groupBy(*keys, "_r.name", "_r.q", "_n", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .join(below, [*keys, "name"], "left")
+        .join(below, [*keys, "name"])
     )
     window = Window.partitionBy(*keys, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.coalesce(F.col("_below"), F.lit(0)) + F.sum("_c").over(window)  # 1-based rank of the last copy
+    last = F.col("_below") + F.sum("_c").over(window)  # 1-based rank of the last copy
     rank = (F.col("_n") - 1) * F.col("q")
     ranked = inside.withColumns({"_to": last, "_rank": rank}).withColumn("_from", F.col("_to") - F.col("_c"))
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quantframe.functions.text import has_pii, is_transactional, pair_score
 from quantframe.operators.tables import last_write_wins
+from quantframe.session import staged
 
 PACK_ROWS = 4096  # rows of the side that travels
 BLOCK_QUERIES, BLOCK_CORPUS = 2048, 16384
@@ -268,7 +269,8 @@ def semantic_cache_lookup(queries: DataFrame, cache: DataFrame, now: Column, ttl
     is a miss even if a fresh one is second.
     """
     bypass = is_transactional(F.col("query_text")) | has_pii(F.col("query_text"))
-    flagged = queries.withColumn("bypass", bypass)
+    # the masking patterns are the costly part, so they run once over each text
+    flagged = staged(queries.select("query_id", "vector", bypass.alias("bypass")))
     asked = flagged.filter(~F.col("bypass")).withColumn("namespace", F.lit(CACHE_NAMESPACE))
     nearest = knn(asked, cache, 1).join(cache.select("namespace", "id", "response", "timestamp"), ["namespace", "id"])
     close = (F.lit(1.0) - F.col("score") < CACHE_DISTANCE) & (now - F.col("timestamp") <= ttl)

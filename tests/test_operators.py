@@ -40,18 +40,21 @@ def days(n: int) -> list[dt.date]:
 # --- quantiles, folds, portfolio -------------------------------------------------------------
 
 
-@pytest.mark.parametrize("small", [qt.SMALL, 50])
-def test_exact_quantiles_match_numpy(spark, monkeypatch, small):
+@pytest.mark.parametrize("accuracy", [qt.ACCURACY, 2000])
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_exact_quantiles_match_numpy(spark, monkeypatch, accuracy, keys):
+    """With the low accuracy one group is ranked inside brackets, the others by the built-in percentile."""
+    monkeypatch.setattr(qt, "ACCURACY", accuracy)
+    monkeypatch.setattr(qt, "SMALL", 2 * accuracy)
     rng = np.random.default_rng(5)
     groups = {"a": rng.normal(size=30000).round(3), "b": rng.integers(0, 4, 999).astype(float), "c": np.array([1.0, 2.0])}
     pdf = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in groups.items()])
     wanted = {"low": 0.33, "mid": 0.5, "high": 0.66, "top": 1.0, "bottom": 0.0}
-    if small != qt.SMALL:
-        pdf = pdf[pdf.g == "a"]
-        monkeypatch.setattr(qt, "SMALL", small)
-        monkeypatch.setattr(qt, "ACCURACY", 10000)
-    got = qt.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", wanted).toPandas().set_index("g")
-    for g, values in pdf.groupby("g")["v"]:
+    got = qt.exact_quantiles(spark.createDataFrame(pdf), keys, "v", wanted).toPandas()
+    parts = dict(list(pdf.groupby("g")["v"])) if keys else {"all": pdf["v"]}
+    got.index = got["g"] if keys else ["all"]
+    assert len(got) == len(parts)
+    for g, values in parts.items():
         for name, q in wanted.items():
             assert got.loc[g, name] == pytest.approx(np.quantile(values, q), abs=1e-12)
 
