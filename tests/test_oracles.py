@@ -8,8 +8,12 @@ from compare import compare, connect
 import __spark_entry__ as entry
 
 QUERIES, TWINS = entry.queries(), entry.oracle_sql()
-# slow model jobs are exercised in test_models
-MODEL_JOBS = {"permutation_test", "loo_accuracy", "param_search", "heavy_retrain", "light_retrain", "daily_inference"}
+# queries that fit models are slow; test_models exercises their functions on a small panel
+MODEL_JOBS = {
+    "permutation_test", "loo_accuracy", "param_search", "heavy_retrain", "light_retrain", "daily_inference",
+    "train_classifier", "score_probabilities", "top_features", "attribution_mean_abs", "walk_forward",
+    "champion_challenger", "export_model", "oos_portfolio",
+}
 
 
 @pytest.fixture(scope="module")
