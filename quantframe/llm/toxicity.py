@@ -1,18 +1,19 @@
 """Toxicity by weak supervision: mined lexicon and pattern voters, a generative label model, a linear classifier.
 
 1.  Voters.  On a bounded sample of labelled rows, words (lexicon) and word beginnings of 4 to 7 letters
-    (patterns) that lean clearly to the toxic class are mined.  Those that share their first letters form
-    one voter of their kind; a voter fires on a text that has any of them.
+    (patterns; also found in two or in three different words of a text) that lean clearly to the toxic class
+    are mined.  Those that share their first letters form one voter of their kind; a voter fires on a text
+    that has any of them and abstains elsewhere.
 2.  Label model.  A two-class generative model (each voter has a firing rate per class, the class is hidden
     where no label may be used) is fitted by expectation maximisation over all documents.  Voters that fire
-    together more than the class explains share their weight.
+    together more than the class explains share their weight.  An abstention says nothing; what a text is
+    on which all abstain is read from the labels that may be used.
 3.  Classifier.  A logistic regression on the mined features is fitted to the posterior labels of all
     documents that are not held out; every document is scored by it.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -31,8 +32,12 @@ from quantframe.session import staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
-#: Voters of each kind.
-GROUPS = 64
+#: The most voters of the label model.
+VOTERS = 192
+#: A feature is mined from this log-likelihood ratio on, so that chance finds among millions of words are few.
+SIGNAL = 25.0
+#: Correlation from which two voters share their weight.
+CLEAR = 0.3
 #: Words kept in a task's memory with their features.
 REMEMBERED = 300_000
 
@@ -47,10 +52,17 @@ def word_features(token: str) -> list[str]:
     return out
 
 
-def voter_of(feature: str) -> int:
-    """Features of a kind that begin with the same four letters vote together."""
-    group = zlib.crc32(feature[1:5].encode()) % GROUPS
-    return group if feature[0] == "w" else GROUPS + group
+def text_features(text: str) -> set[str]:
+    """All features of a text; ``q`` and ``r``: a pattern in at least two or three different tokens."""
+    seen = Counter(f for token in set(text.lower().split()) for f in set(word_features(token)))
+    more = [("r" if n > 2 else "q") + f[1:] for f, n in seen.items() if n > 1 and f[0] == "p"]
+    return {*seen, *more, *("q" + f[1:] for f in more if f[0] == "r")}
+
+
+def voters_of(names: list[str]) -> np.ndarray:
+    """The voter of each feature: one for each kind and first four letters, shared in turn beyond VOTERS."""
+    stems = {stem: i % VOTERS for i, stem in enumerate(sorted({f[:5] for f in names}))}
+    return np.array([stems[f[:5]] for f in names])
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -62,7 +74,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text", 4 << 20):
         counts = (Counter(), Counter())
         for text, toxic in zip(texts(batch), batch.column(1).to_pylist()):
-            counts[toxic].update({f for token in set(text.lower().split()) for f in word_features(token)})
+            counts[toxic].update(text_features(text))
         names = list(counts[0] | counts[1])
         yield pa.record_batch(
             {
@@ -86,57 +98,62 @@ def mine(docs: DataFrame, labelled: DataFrame, fit_rows: int, features: int) ->
         return []
     read = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most fit_rows short rows
     tally = read.mapInArrow(_tally, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    in_toxic, in_clean = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
-    lean = F.log(in_toxic / in_clean)
-    noise = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = tally.where(F.col("toxic") >= 3).select("feature", (lean / noise).alias("z"), lean.alias("lean")).where("lean > 1.5 and z > 2.5")
-    return sorted(r[0] for r in best.orderBy(F.desc("z"), "feature").limit(features).collect())
+    # log-likelihood ratio of the feature's split over the classes against the split of the sample
+    seen, share = F.col("clean") + F.col("toxic"), toxic / (toxic + clean)
+    term = lambda part, rate: F.when(part > 0, part * F.log(part / (seen * rate))).otherwise(0.0)
+    signal = 2 * (term(F.col("toxic"), share) + term(F.col("clean"), 1 - share))
+    lean = F.log((F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1)))
+    best = tally.where(F.col("toxic") >= 3).select("feature", signal.alias("signal"), lean.alias("lean"))
+    best = best.where((F.col("lean") > 1.5) & (F.col("signal") >= SIGNAL))
+    return sorted(r[0] for r in best.orderBy(F.desc("signal"), "feature").limit(features).collect())
 
 
 def _hits(names: list[str]):
     """Indices of the mined features in every whole text."""
     known = {f: i for i, f in enumerate(names)}
+    stems = {f if f[0] == "w" else "p" + f[1:] for f in names}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for batch in chunks(batches, "text", 8 << 20):
             found = []
             for text in texts(batch):
-                mine: set[int] = set()
+                mine: list[str] = []
                 for token in set(text.lower().split()):
-                    at = cache.get(token)
-                    if at is None:
+                    part = cache.get(token)
+                    if part is None:
                         if len(cache) >= REMEMBERED:
                             cache.clear()
-                        at = cache[token] = tuple(known[f] for f in word_features(token) if f in known)
-                    if at:
-                        mine.update(at)
-                found.append(np.array(sorted(mine), np.int32))
+                        part = cache[token] = tuple(f for f in set(word_features(token)) if f in stems)
+                    if part:
+                        mine.extend(part)
+                seen = Counter(mine)
+                more = [k + f[1:] for f, n in seen.items() if n > 1 and f[0] == "p" for k in "qr"[: n - 1]]
+                found.append(np.array(sorted(known[f] for f in (*seen, *more) if f in known), np.int32))
             yield pa.record_batch({"doc_id": batch.column(0), "hits": lists(found, pa.int32())})
 
     return run
 
 
 class LabelModel:
-    """Firing rates per class, class share, and the weight left to each voter after correlations."""
+    """Firing rates per class, the chance of the toxic class at large and where nothing fires, and each
+    voter's weight after correlations."""
 
-    def __init__(self, voters: int, share: float):
+    def __init__(self, voters: int, share: float, silent: float):
         self.rate = np.full((2, voters), 0.5)
-        self.share, self.weight = share, np.ones(voters)
+        self.share, self.silent, self.weight = share, silent, np.ones(voters)
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
         """Chance of the toxic class for rows of 0/1 votes."""
-        hit, miss = np.log(self.rate), np.log1p(-self.rate)
-        logit = math.log(self.share / (1 - self.share))
-        logit += (fired * (hit[1] - hit[0]) + (1 - fired) * (miss[1] - miss[0])) @ self.weight
+        odds = np.where(fired.any(1), self.share / (1 - self.share), self.silent / (1 - self.silent))
+        logit = np.log(odds) + fired @ (self.weight * np.log(self.rate[1] / self.rate[0]))
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
     def update(self, count: np.ndarray, fired: np.ndarray) -> None:
-        self.rate = (fired + 0.5) / (count[:, None] + 1.0 + (fired == 0))
-        self.share = float(np.clip(count[1] / max(count.sum(), 1), 1e-4, 1 - 1e-4))
+        self.rate = (fired + 0.5) / (count[:, None] + 1.0)
 
     def correlate(self, count: np.ndarray, fired: np.ndarray, both: np.ndarray) -> None:
-        """Divide a voter's weight by one plus the correlations that the class leaves unexplained."""
+        """Divide a voter's weight by one plus the clear correlations that the class leaves unexplained."""
         worst = np.zeros_like(both[0])
         for c in (0, 1):
             mean = fired[c] / max(count[c], 1)
@@ -145,7 +162,7 @@ class LabelModel:
             enough = np.minimum.outer(fired[c], fired[c]) >= 5
             worst = np.maximum(worst, np.where(enough, cov / np.outer(spread, spread), 0))
         np.fill_diagonal(worst, 0)
-        self.weight = 1 / (1 + np.clip(worst, 0, 1).sum(1))
+        self.weight = 1 / (1 + np.where(worst >= CLEAR, worst, 0).sum(1))
 
 
 def _votes(hits: pa.Array, voter: np.ndarray, voters: int) -> np.ndarray:
@@ -159,7 +176,7 @@ def _expect(model: LabelModel | None, voter: np.ndarray, voters: int, pairs: boo
     """Sums that the next step of the label model needs: one row per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, fired, both = np.zeros(2), np.zeros((2, voters)), np.zeros((2, voters, voters))
+        count, silent, fired, both = np.zeros(2), np.zeros(2), np.zeros((2, voters)), np.zeros((2, voters, voters))
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
                 votes = _votes(part.column(0), voter, voters)
@@ -170,34 +187,35 @@ def _expect(model: LabelModel | None, voter: np.ndarray, voters: int, pairs: boo
                 n = n if model else n * known
                 for c, p in enumerate((n * (1 - toxic), n * toxic)):
                     count[c] += p.sum()
+                    silent[c] += p[votes.sum(1) == 0].sum()
                     fired[c] += p @ votes
                     if pairs:
                         both[c] += votes.T @ (votes * p[:, None])
-        yield pa.record_batch({"sums": lists([np.concatenate([count, fired.ravel(), both.ravel() if pairs else []])], pa.float64())})
+        yield pa.record_batch({"sums": lists([np.concatenate([count, silent, fired.ravel(), both.ravel() if pairs else []])], pa.float64())})
 
     return run
 
 
 def fit_label_model(patterns: DataFrame, names: list[str], rounds: int = 5) -> LabelModel:
     """Expectation maximisation over ``patterns(hits, label, n)``; known labels stay as they are."""
-    voters, voter = 2 * GROUPS, np.array([voter_of(f) for f in names])
+    voters, voter = VOTERS, voters_of(names)
 
     def sums(model: LabelModel | None, pairs: bool = False):
         parts = patterns.mapInArrow(_expect(model, voter, voters, pairs), "sums array<double>").collect()  # a row a task
         total = np.sum([np.array(r[0]) for r in parts], axis=0)
-        count, fired = total[:2], total[2 : 2 + 2 * voters].reshape(2, voters)
-        return (count, fired, total[2 + 2 * voters :].reshape(2, voters, voters)) if pairs else (count, fired)
+        return total[:2], total[2:4], *np.split(total[4:].reshape(-1, voters), [2])
 
-    model = LabelModel(voters, 0.5)
-    model.update(*sums(None))
-    model.correlate(*sums(model, pairs=True))
+    count, silent, fired, _ = sums(None)  # labelled rows only
+    model = LabelModel(voters, float((count[1] + 0.5) / (count.sum() + 1)), float((silent[1] + 0.5) / (silent.sum() + 1)))
+    model.update(count, fired)
     for _ in range(rounds):
-        model.update(*sums(model))
-    model.correlate(*sums(model, pairs=True))
+        count, _, fired, both = sums(model, pairs=True)
+        model.update(count, fired)
+        model.correlate(count, fired, both.reshape(2, voters, voters))
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 4096) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 2048) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs(doc_id, text)``.
 
     ``labels(doc_id, toxic)`` teaches only through rows that are not held out (crc32 of the doc_id as text,
@@ -221,11 +239,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, feature
     patterns = staged(known.groupBy("hits", F.col("label").cast("double").alias("label"), "held_out").agg(F.count(F.lit(1)).alias("n")))
     model = fit_label_model(patterns.select("hits", "label", "n"), names)
 
-    voter = np.array([voter_of(f) for f in names])
+    voter = voters_of(names)
 
     @F.pandas_udf("double")
     def posterior(hits: pd.Series, label: pd.Series) -> pd.Series:
-        p = model.posterior(_votes(pa.array(hits.to_list(), pa.list_(pa.int32())), voter, 2 * GROUPS))
+        p = model.posterior(_votes(pa.array(hits.to_list(), pa.list_(pa.int32())), voter, VOTERS))
         return label.astype(float).where(label.notna(), pd.Series(p, index=label.index))
 
     size = len(names)
@@ -234,7 +252,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, feature
     teach = teach.groupBy("hits").agg(F.sum(F.expr("n * p")).alias("toxic"), F.sum(F.expr("n * (1 - p)")).alias("clean"))
     teach = teach.select(sparse("hits").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("toxic").alias("w")), F.struct(F.lit(0.0).alias("label"), F.col("clean").alias("w")))).alias("x"))
     teach = staged(teach.select("features", "x.label", "x.w").where("w > 1e-6"))
-    line = LogisticRegression(weightCol="w", regParam=1e-4, maxIter=60, standardization=False).fit(teach)
+    line = LogisticRegression(weightCol="w", regParam=1e-5, maxIter=60, standardization=False).fit(teach)
     slope, offset = line.coefficients.toArray(), float(line.intercept)
 
     @F.pandas_udf("double")
