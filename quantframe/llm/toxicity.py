@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantframe.llm.arrow import chunks, lists, texts
+from quantframe.llm.near_text import shingles
 from quantframe.session import staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -85,18 +86,27 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _least_shingle(column: pd.Series) -> pd.Series:
+    """Smallest hash of the five-word shingles: the same for copies, and for most near copies."""
+    return column.map(lambda t: int(s[0].view(np.int64)) if len(s := shingles(t or "", 5)) else 0)
+
+
 def mine(docs: DataFrame, labelled: DataFrame, fit_rows: int, features: int) -> list[str]:
     """The features that lean most clearly to the toxic class, at most ``features`` of them.
 
     ``labelled(doc_id, toxic)``; the sample is the ``fit_rows`` rows with the smallest hash of doc_id.
     """
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = staged(sample)
+    texts_of = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")  # at most fit_rows short rows
+    # one text of each group of copies, near ones too: the words of a copied document would all look like its label
+    texts_of = staged(texts_of.withColumn("group", F.pandas_udf(_least_shingle, "long")("text")))
+    sample = texts_of.groupBy("group").agg(F.min("doc_id").alias("doc_id"), F.min_by("toxic", "doc_id").alias("toxic"))
+    sample = staged(sample.select("doc_id", "toxic"))
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not toxic or not clean:
         return []
-    read = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most fit_rows short rows
+    read = texts_of.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
     tally = read.mapInArrow(_tally, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # log-likelihood ratio of the feature's split over the classes against the split of the sample
     seen, share = F.col("clean") + F.col("toxic"), toxic / (toxic + clean)
