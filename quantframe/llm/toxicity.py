@@ -146,24 +146,26 @@ def _hits(names: list[str]):
 
 
 class LabelModel:
-    """Firing rates per class, the chance of the toxic class at large and where nothing fires, and each
-    voter's weight after correlations."""
+    """Firing rates per class, the chance of the toxic class at large and where nothing fires, and
+    the correlations that voters keep once the class is known."""
 
     def __init__(self, voters: int, share: float, silent: float):
         self.rate = np.full((2, voters), 0.5)
-        self.share, self.silent, self.weight = share, silent, np.ones(voters)
+        self.share, self.silent, self.shared = share, silent, np.zeros((voters, voters))
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
         """Chance of the toxic class for rows of 0/1 votes."""
         odds = np.where(fired.any(1), self.share / (1 - self.share), self.silent / (1 - self.silent))
-        logit = np.log(odds) + fired @ (self.weight * np.log(self.rate[1] / self.rate[0]))
+        # voters that repeat each other on a text share one vote
+        votes = fired / (1 + fired @ self.shared)
+        logit = np.log(odds) + votes @ np.log(self.rate[1] / self.rate[0])
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
     def update(self, count: np.ndarray, fired: np.ndarray) -> None:
         self.rate = (fired + 0.5) / (count[:, None] + 1.0)
 
     def correlate(self, count: np.ndarray, fired: np.ndarray, both: np.ndarray) -> None:
-        """Divide a voter's weight by one plus the clear correlations that the class leaves unexplained."""
+        """The clear correlations that the class leaves unexplained."""
         worst = np.zeros_like(both[0])
         for c in (0, 1):
             mean = fired[c] / max(count[c], 1)
@@ -172,7 +174,7 @@ class LabelModel:
             enough = np.minimum.outer(fired[c], fired[c]) >= 5
             worst = np.maximum(worst, np.where(enough, cov / np.outer(spread, spread), 0))
         np.fill_diagonal(worst, 0)
-        self.weight = 1 / (1 + np.where(worst >= CLEAR, worst, 0).sum(1))
+        self.shared = np.where(worst >= CLEAR, np.minimum(worst, 1), 0)
 
 
 def _votes(hits: pa.Array, voter: np.ndarray, voters: int) -> np.ndarray:
@@ -262,7 +264,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, feature
     teach = teach.groupBy("hits").agg(F.sum(F.expr("n * p")).alias("toxic"), F.sum(F.expr("n * (1 - p)")).alias("clean"))
     teach = teach.select(sparse("hits").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("toxic").alias("w")), F.struct(F.lit(0.0).alias("label"), F.col("clean").alias("w")))).alias("x"))
     teach = staged(teach.select("features", "x.label", "x.w").where("w > 1e-6"))
-    line = LogisticRegression(weightCol="w", regParam=1e-5, maxIter=60, standardization=False).fit(teach)
+    line = LogisticRegression(weightCol="w", regParam=1e-5, maxIter=100, standardization=False).fit(teach)
     slope, offset = line.coefficients.toArray(), float(line.intercept)
 
     @F.pandas_udf("double")
