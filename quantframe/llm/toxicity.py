@@ -114,7 +114,7 @@ def mine(docs: DataFrame, labelled: DataFrame, fit_rows: int, features: int) ->
     signal = 2 * (term(F.col("toxic"), share) + term(F.col("clean"), 1 - share))
     lean = F.log((F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1)))
     best = tally.where(F.col("toxic") >= 3).select("feature", signal.alias("signal"), lean.alias("lean"))
-    best = best.where((F.col("lean") > 1.5) & (F.col("signal") >= SIGNAL))
+    best = best.where((F.col("lean") > 3) & (F.col("signal") >= SIGNAL))
     return sorted(r[0] for r in best.orderBy(F.desc("signal"), "feature").limit(features).collect())
 
 
