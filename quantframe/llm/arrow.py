@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -18,7 +19,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterato
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         ends = np.cumsum(np.nan_to_num(lengths.to_numpy(zero_copy_only=False).astype(float)))
         start = 0
         while start < batch.num_rows:

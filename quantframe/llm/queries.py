@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantframe.llm import near_text, packing, site_lines, toxicity
+from quantframe.llm import bpe, chat, digests, near_text, near_vectors, packing, shards, site_lines, toxicity, warc
 from quantframe.llm.registry import ORACLES, QUERIES, query
 from quantframe.llm.sources import table
 
@@ -59,3 +59,52 @@ def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_jaccard")
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.jaccard_components(table(spark, sf_dir, "documents"), words=3, numerator=90, denominator=100)
+
+
+OP6_SQL = """
+with payload as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+digest as (
+  select page_id, octet_length(encode(html)) as payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) & 31) + 1)::int, 1) for i in range(32)], '') as payload_digest
+  from payload),
+firsts as (select payload_digest, min(page_id) as first_id from digest group by payload_digest)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from digest join firsts using (payload_digest)
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_shards")
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.write_and_read(table(spark, sf_dir, "documents"), GPT_JSON, GPT_RANKS, public_tokenizers.PATTERN)
+
+
+@query("op10_quote_links")
+def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.conversations(chat.link_quotes(table(spark, sf_dir, "conversations")))
+    return linked.withColumn("clean_md5", F.md5(F.col("clean_text").cast("binary"))).drop("clean_text")
+
+
+@query("op1_nn_descent")
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.vector_links(table(spark, sf_dir, "embeddings"))

@@ -9,14 +9,18 @@ import os
 import numpy as np
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and their ranks from a rank file."""
+    with open(path, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+
+
 @functools.cache
 def rank_encoder(path: str, pattern: str):
     """A tiktoken encoder from a rank file; no special tokens."""
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
 @functools.cache
