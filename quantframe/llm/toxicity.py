@@ -40,7 +40,7 @@ SIGNAL = 25.0
 #: Correlation from which two voters share their weight.
 CLEAR = 0.3
 #: Words kept in a task's memory with their features.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def word_features(token: str) -> list[str]:
@@ -70,20 +70,17 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each feature, by label, summed for every few megabytes of text."""
-    for batch in chunks(batches, "text", 4 << 20):
-        counts = (Counter(), Counter())
-        for text, toxic in zip(texts(batch), batch.column(1).to_pylist()):
-            counts[toxic].update(text_features(text))
-        names = list(counts[0] | counts[1])
-        yield pa.record_batch(
-            {
-                "feature": pa.array(names, pa.string()),
-                "clean": pa.array([counts[0][f] for f in names], pa.int64()),
-                "toxic": pa.array([counts[1][f] for f in names], pa.int64()),
-            }
-        )
+def _tally(wanted: frozenset[str] | None):
+    """Documents with each feature (of those wanted), summed for every megabyte of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            counts: Counter[str] = Counter()
+            for text in texts(batch):
+                counts.update(text_features(text) if wanted is None else text_features(text) & wanted)
+            yield pa.record_batch({"feature": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+    return run
 
 
 def _least_shingle(column: pd.Series) -> pd.Series:
@@ -107,13 +104,21 @@ def mine(docs: DataFrame, labelled: DataFrame, fit_rows: int, features: int) ->
     if not toxic or not clean:
         return []
     read = texts_of.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    tally = read.mapInArrow(_tally, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+    def tally(label: int, wanted: frozenset[str] | None) -> DataFrame:
+        part = read.where(F.col("toxic") == label).select("text").mapInArrow(_tally(wanted), "feature string, n long")
+        return part.groupBy("feature").agg(F.sum("n").alias("toxic" if label else "clean"))
+
+    found = staged(tally(1, None).where("toxic >= 3"))
+    wanted = frozenset(r[0] for r in found.select("feature").collect())  # of at most fit_rows texts
+    tallied = found.join(tally(0, wanted), "feature", "left").fillna(0, ["clean"])
     # log-likelihood ratio of the feature's split over the classes against the split of the sample
     seen, share = F.col("clean") + F.col("toxic"), toxic / (toxic + clean)
     term = lambda part, rate: F.when(part > 0, part * F.log(part / (seen * rate))).otherwise(0.0)
     signal = 2 * (term(F.col("toxic"), share) + term(F.col("clean"), 1 - share))
     lean = F.log((F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1)))
-    best = tally.where(F.col("toxic") >= 3).select("feature", signal.alias("signal"), lean.alias("lean"))
+    best = tallied.select("feature", signal.alias("signal"), lean.alias("lean"))
     best = best.where((F.col("lean") > 3) & (F.col("signal") >= SIGNAL))
     return sorted(r[0] for r in best.orderBy(F.desc("signal"), "feature").limit(features).collect())
 
@@ -125,7 +130,7 @@ def _hits(names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text", 2 << 20):
             found = []
             for text in texts(batch):
                 mine: list[str] = []
