@@ -23,7 +23,7 @@ from quantframe.llm.arrow import chunks, texts
 from quantframe.llm.tokens import read_ranks
 
 #: Text handled at a time, and words remembered with their ids in a worker.
-CHUNK, REMEMBERED = 4 << 20, 400_000
+CHUNK, REMEMBERED = 4 << 20, 1_000_000
 
 ENCODE = """
 with recursive t(pos, word, id) using key (pos) as (
