@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantframe.session import staged
+
 #: Fixed patterns, the same in Java and RE2.
 HIDDEN = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 BLOCK = r"(?i)</?(?:title|p|div|br|h[1-6]|li|ul|ol|nav|article|section|header|footer|table|tr|td|body|head|html|pre)(?:[ \t\r\n/][^>]*)?>"
@@ -48,21 +50,22 @@ def drop_site_lines(
         raise ValueError(f"columns {clash} are the operator's own; rename them first")
     lines = F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(text), "\n"))
     read = pages.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("\0")), "_lines": lines})
-    keys = F.transform("_lines", lambda x: F.when(_normal(x) != "", F.xxhash64(_normal(x))))
+    normals = F.transform("_lines", _normal)
+    keys = F.transform(F.filter(normals, lambda x: x != ""), lambda x: F.xxhash64(x))
 
+    # a null key stands for the page itself, so one pass over the texts gives lines and page totals
     facts = read.where(F.col(text).isNotNull()).select("_host", F.xxhash64(text).alias("_page"), keys.alias("_keys"))
-    counted = facts.select("_host", "_page", F.explode(F.array_distinct("_keys")).alias("key")).where("key is not null")
-    counted = counted.distinct().groupBy("_host", "key").agg(F.count(F.lit(1)).alias("n"))
-    totals = facts.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    common = counted.where(F.col("n") >= min_pages).join(totals, "_host").where(F.col("n") >= F.lit(boilerplate_ratio) * F.col("pages"))
+    every = F.concat(F.array_distinct("_keys"), F.array(F.lit(None).cast("bigint")))
+    counted = facts.select("_host", "_page", F.explode(every).alias("key")).distinct().groupBy("_host", "key").agg(F.count(F.lit(1)).alias("n"))
+    counted = staged(counted.where(F.col("key").isNull() | (F.col("n") >= min_pages)))
+    totals = counted.where("key is null").select("_host", F.col("n").alias("pages"))
+    common = counted.where("key is not null").join(totals, "_host").where(F.col("n") >= F.lit(boilerplate_ratio) * F.col("pages"))
     common = common.groupBy("_host").agg(F.collect_list("key").alias("_drop"))
 
-    def stays(x: Column) -> Column:
-        normal = _normal(x)
-        return (normal == "") | ~F.array_contains("_drop", F.xxhash64(normal))
-
     joined = read.join(common, "_host", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<bigint>")))
-    kept = joined.withColumn("_keys", F.filter("_lines", stays))
+    lined = F.transform("_lines", lambda x: F.struct(x.alias("line"), _normal(x).alias("normal")))
+    stays = F.filter(lined, lambda x: (x["normal"] == "") | ~F.array_contains("_drop", F.xxhash64(x["normal"])))
+    kept = joined.withColumn("_keys", F.transform(stays, lambda x: x["line"]))
     return kept.withColumns(
         {
             "kept_text": F.when(F.col(text).isNotNull(), F.array_join("_keys", "\n")),
