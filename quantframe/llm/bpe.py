@@ -4,12 +4,13 @@ A task cuts its texts into pre-tokens, and the distinct ones that it has not met
 token-position rows.  A recursive query joins neighbouring rows with the merge table and contracts, in
 every word, the pair of the lowest rank from the left until no pair is left.  Where no later merge could
 come between (a property of the vocabulary that the merge table states), all places of that pair are
-contracted in one step.  Ids are turned back into bytes by an ordered aggregation over the vocabulary.
+contracted in one step; only pairs of a token with itself can overlap, and of those every second one is taken.  Ids are turned back into bytes by an ordered aggregation over the vocabulary.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import duckdb
@@ -35,22 +36,24 @@ with recursive t(pos, word, id) using key (pos) as (
      from recurring.t r semi join t on r.word = t.word where r.id >= 0
      window w as (order by r.pos)),
    fit as (
-     select live.word, live.pos, live.nth, live.next_pos, m.id, m.alone
+     select live.word, live.pos, live.nth, live.next_pos, m.id, m.alone, m.l = m.r as twin
      from live join merges m on live.id = m.l and live.next_id = m.r where live.word = live.next_word),
-   best as (select word, min(id) as id from fit group by word),
+   best as (select word, min((id::bigint << 36) | pos) as least from fit group by word),
    place as (
-     select fit.*, nth - row_number() over (order by pos) as run, pos = min(pos) over (partition by fit.word) as first
-     from fit join best on fit.word = best.word and fit.id = best.id),
+     select fit.*, fit.pos = (least & 68719476735) as first
+     from fit join best on fit.word = best.word and fit.id = (least >> 36)),
+   twins as (select *, nth - row_number() over (order by pos) as run from place where twin and not alone),
    chosen as (
-     select word, pos, next_pos, id from place
-     qualify (first or not alone) and (row_number() over (partition by word, run order by pos)) % 2 = 1)
+     select word, pos, next_pos, id from place where case when alone then first else not twin end
+     union all
+     select word, pos, next_pos, id from twins qualify (row_number() over (partition by word, run order by pos)) % 2 = 1)
    select pos, word, id from chosen union all select next_pos, word, -1 from chosen)
 )
 select word, id from t where id >= 0 order by pos
 """
 
 DECODE = """
-select doc, string_agg(v.hex, '' order by pos) as hex from coded join vocabulary v using (id) group by doc
+select doc, string_agg(v.chars, '' order by pos) as chars from coded join vocabulary v using (id) group by doc
 """
 
 
@@ -84,8 +87,9 @@ class _Coder:
         left, right, merged, alone = (np.array(c) for c in zip(*merge_table(self.ranks)))
         merges = pa.table({"l": left, "r": right, "id": merged, "alone": alone})
         self.db.execute("create table merges as select l::int l, r::int r, id::int id, alone from merges")
-        vocabulary = pa.table({"id": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]})
-        self.db.execute("create table vocabulary as select id::int id, hex from vocabulary")
+        # one character, U+0000 to U+00FF, for each byte
+        vocabulary = pa.table({"id": list(self.ranks.values()), "chars": [t.decode("latin-1") for t in self.ranks]})
+        self.db.execute("create table vocabulary as select id::int id, chars from vocabulary")
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.forget()
 
@@ -121,7 +125,7 @@ class _Coder:
     def encode(self, pieces: list[list[str]]) -> list[np.ndarray]:
         self.learn(set().union(*pieces))
         counts = [len(doc) for doc in pieces]
-        at = np.fromiter((self.known[p] for doc in pieces for p in doc), np.int64, sum(counts))
+        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(pieces)), np.int64, sum(counts))
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
@@ -138,7 +142,7 @@ class _Coder:
             }
         )
         found = dict(self.db.execute(DECODE).fetchall())
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(docs))]
+        return [found.get(i, "").encode("latin-1") for i in range(len(docs))]
 
 
 @functools.cache
