@@ -14,7 +14,7 @@ HEADLINE = [
     "quantile_thresholds", "portfolio_metrics", "tuning_score", "position_state", "fold_thresholds",
     "next_close_asof", "reconcile", "range_replace", "mask_pii", "validate_news", "chunk_documents", "chunk_fixed",
     "embed_text", "knn", "rag_context", "semantic_cache_lookup", "apply_alert_changes", "alert_match",
-    "ledger_replay", "credit_ledger", "stream_bars",
+    "credit_ledger", "stream_bars",
 ]
 
 

@@ -12,7 +12,6 @@ from quantframe.operators.timeline import id_bucket, with_ordinal
 from quantframe.session import staged
 
 TICKERS = ["SPY", "QQQ", "DIA", "GLD", "TLT", "IWM", "VIX"]
-UNIVERSE_CUSTOMERS = 15000  # customers per copy of the ticker list, so that histories stay bounded
 FIRST_DATE = "1995-01-01"
 NEWS_EPOCH = 1704067200.0  # 2024-01-01 UTC
 NEWS_SPAN = 2592000  # 30 days in seconds
@@ -26,15 +25,10 @@ def base_ticker(number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in TICKERS]), (F.pmod(number, F.lit(7)) + 1).cast("int"))
 
 
-def _ticker(nation: Column, customer: Column) -> Column:
-    copy = F.floor(customer / F.lit(UNIVERSE_CUSTOMERS))
-    return F.concat(base_ticker(nation), F.when(copy == 0, F.lit("")).otherwise(F.concat(F.lit("_"), copy)))
-
-
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as trades: ticker, price, quantity and the unique five-column order."""
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
     )
@@ -43,8 +37,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(customers, orders.o_custkey == customers.c_custkey)
-        .withColumn("ticker", _ticker(F.col("c_nationkey"), F.col("c_custkey")))
-        .drop("o_orderkey", "c_custkey", "c_nationkey")
+        .withColumn("ticker", base_ticker(F.col("c_nationkey")))
+        .drop("o_orderkey", "o_custkey", "c_custkey", "c_nationkey")
     )
 
 
@@ -52,14 +46,14 @@ TRADE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppk
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades numbered per ticker."""
-    source = trades(spark, sf_dir).drop("l_returnflag", "o_custkey")
+    """Trades numbered per ticker; staged, as numbering reads them twice and the joins should run once."""
+    source = staged(trades(spark, sf_dir))
     buckets = [F.unix_date(F.to_date("l_shipdate")), id_bucket("l_orderkey")]
     return with_ordinal(source, ["ticker"], TRADE_ORDER, buckets, "rn").select("ticker", "rn", "price", "qty")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-tick bars on consecutive dates; ``bar_no`` is the 1-based position in the ticker.
+    """Two-tick bars on consecutive dates, with a one-tick bar where the last tick is odd; ``bar_no`` is the 1-based position in the ticker.
 
     Written to the shared folder, as the reading side takes several column subsets of it.
     """
@@ -72,10 +66,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min("price").alias("low"),
             F.max_by("price", "rn").alias("close"),
             F.sum("qty").alias("volume"),
-            F.count(F.lit(1)).alias("_n"),
         )
-        .filter(F.col("_n") == 2)
-        .drop("_n")
         .withColumn("date", F.date_add(F.lit(FIRST_DATE).cast("date"), (F.col("bar_no") - 1).cast("int")))
     )
 
@@ -83,12 +74,15 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 RETURN_SCALE = 100.0  # prices mix different parts, so log returns are scaled to daily size
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows: bar, scaled returns, class probabilities from volume and range, thresholded class."""
+def signals(spark: SparkSession, sf_dir: str, given: DataFrame | None = None) -> DataFrame:
+    """Scored rows: bar, scaled returns, class probabilities from volume and range, thresholded class.
+
+    ``given``: the bars, where the caller has built them already.
+    """
     from quantframe.functions.signals import decide
     from quantframe.operators.features import compute, number_bars
 
-    panel = number_bars(bars(spark, sf_dir)).filter(F.col("ticker") != "VIX")
+    panel = number_bars(bars(spark, sf_dir) if given is None else given).filter(F.col("ticker") != "VIX")
     scored = compute(panel, ["log_returns", "forward_return"])
     p_buy = F.col("volume") / F.lit(125.0)
     p_sell = (F.lit(1.0) - p_buy) * F.col("low") / F.col("high")
@@ -114,11 +108,11 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_by_quantiles(known, quantile_thresholds(known), name="y_true")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pending prediction per scored bar."""
+def predictions(spark: SparkSession, sf_dir: str, given: DataFrame | None = None) -> DataFrame:
+    """One pending prediction per scored bar; ``given`` as in ``signals``."""
     from quantframe.functions.signals import conviction
 
-    scored = signals(spark, sf_dir)
+    scored = signals(spark, sf_dir, given)
     zones = conviction(F.col("prob_buy"), F.col("prob_sell"), BUY_AT, SELL_AT)
     return scored.select(
         F.concat(F.col("ticker"), F.lit("#"), F.lpad(F.col("bar_no").cast("string"), 9, "0")).alias("id"),
@@ -137,9 +131,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def verdict_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External answers and the news flag of each scored bar, by volume."""
-    scored = signals(spark, sf_dir)
+def verdict_answers(scored: DataFrame) -> DataFrame:
+    """External answers and the news flag of each of the scored rows, by volume."""
     v = F.col("volume")
     return scored.select(
         "ticker", "date", (v > 60).alias("has_news"),
@@ -263,17 +256,7 @@ def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades as paper orders, one account per customer; ``TRADE_ORDER`` orders them."""
-    return trades(spark, sf_dir).select(
-        F.concat(F.lit("t"), F.pmod("o_custkey", F.lit(3))).alias("tenant_id"),
-        F.col("o_custkey").cast("string").alias("user_id"), base_ticker(F.col("l_partkey")).alias("ticker"),
-        F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("action"),
-        F.col("qty").alias("quantity"), "price", *TRADE_ORDER,
-    )
-
-
-# models of the answers; the last two are not priced
+# Models of the answers; the last two are not priced.
 ANSWER_MODELS = [
     "gemini-3.5-flash", "gemini-3.1-pro-preview", "gemini-2.5-pro", "gemini-2.5-flash", "gemini-3.1-flash-lite",
     "local-model", "failed_all",

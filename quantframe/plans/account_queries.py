@@ -9,11 +9,9 @@ from quantframe import fixtures
 from quantframe.operators import alerts as al
 from quantframe.operators import chat as ch
 from quantframe.operators import evaluation as ev
-from quantframe.operators import ledger as lg
 from quantframe.operators import tables as tb
 from quantframe.plans.oracle_views import TICKER_SQL
 from quantframe.plans.registry import query
-from quantframe.session import staged
 
 _REQUESTS = f"""requests AS (
  SELECT c_custkey AS alert_id, 't' || (c_nationkey % 3) AS tenant_id, c_custkey::VARCHAR AS user_id,
@@ -118,28 +116,6 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.insert_if_absent(users, seen.withColumn("credits", F.lit(ch.START_CREDITS)), ["user_id"])
 
 
-@query("ledger_replay")
-def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lg.ledger_replay(fixtures.ledger_orders(spark, sf_dir), fixtures.TRADE_ORDER)
-
-
-@query("portfolio_status")
-def portfolio_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replayed = staged(ledger_replay(spark, sf_dir))
-    customers = fixtures.table(spark, sf_dir, "customer")
-    accounts = customers.select(
-        F.concat(F.lit("t"), F.pmod("c_custkey", F.lit(3))).alias("tenant_id"), F.col("c_custkey").cast("string").alias("user_id")
-    )
-    return lg.portfolio_status(replayed, accounts)
-
-
-@query("exposure_flag")
-def exposure_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lg.exposure_flag(ledger_replay(spark, sf_dir)).select(
-        "tenant_id", "user_id", "order_no", "total_amount", "cash_before", "exposure_warning"
-    )
-
-
 _MODELS_SQL = "[" + ", ".join(f"'{m}'" for m in fixtures.ANSWER_MODELS) + "]"
 _COST_SQL = "CASE model " + " ".join(f"WHEN '{m}' THEN {c}" for m, c in ch.MODEL_COSTS.items()) + " ELSE 1.0 END"
 

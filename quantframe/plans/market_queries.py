@@ -33,14 +33,13 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(
-    "ohlcv_melt",
-    f"WITH {BARS} SELECT {_OHLCV} FROM bars WHERE ticker IN ('SPY', 'QQQ', 'DIA', 'GLD', 'TLT', 'IWM', 'VIX')",
-)
+@query("ohlcv_melt", f"WITH {BARS} SELECT {_OHLCV} FROM bars")
 def ohlcv_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [F.first(f).alias(f.title()) for f in br.FIELDS]
-    wide = _bars(spark, sf_dir).groupBy("date").pivot("ticker", fixtures.TICKERS).agg(*fields)
-    return br.ohlcv_melt(wide, fixtures.TICKERS)
+    bars = _bars(spark, sf_dir)
+    tickers = [r.ticker for r in bars.select("ticker").distinct().orderBy("ticker").collect()]  # columns of the wide frame
+    wide = bars.groupBy("date").pivot("ticker", tickers).agg(*fields)
+    return br.ohlcv_melt(wide, tickers)
 
 
 @query("panel_store", f"WITH {BARS} SELECT {_OHLCV} FROM bars")
@@ -240,6 +239,7 @@ def load_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
             "buy_threshold": fixtures.BUY_AT,
             "sell_threshold": fixtures.SELL_AT,
             "req_features": ["ret_1d", "natr_14"],
+            # fixed values: class weights
             "class_weight": {"-1": 1.8039724530062737, "0": 1.2888522813537968, "1": 1.400465297257751},
         },
     )
@@ -279,7 +279,7 @@ def _target(bars: DataFrame):
 
 def _reconciled(spark: SparkSession, sf_dir: str):
     bars = fixtures.bars(spark, sf_dir)
-    predictions = staged(fixtures.predictions(spark, sf_dir))
+    predictions = staged(fixtures.predictions(spark, sf_dir, bars))
     done = pr.reconcile(predictions, bars, _target(bars), fixtures.BULL_LIMIT, fixtures.BEAR_LIMIT)
     return bars, predictions, done
 
@@ -287,7 +287,7 @@ def _reconciled(spark: SparkSession, sf_dir: str):
 @query("next_close_asof", f"WITH {PREDICTIONS_SQL} SELECT id, next_close FROM asof_")
 def next_close_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = fixtures.bars(spark, sf_dir)
-    predictions = staged(fixtures.predictions(spark, sf_dir))
+    predictions = staged(fixtures.predictions(spark, sf_dir, bars))
     target = _target(bars)
     return pr.next_close_asof(pr.pending(predictions, target), bars, target).select("id", "next_close")
 
@@ -364,8 +364,9 @@ verdicts AS (SELECT *, CASE WHEN NOT consulted THEN 'HOLD' WHEN answer IS NOT NU
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = sg.conviction(F.col("prob_buy"), F.col("prob_sell"), fixtures.BUY_AT, fixtures.SELL_AT)
-    scored = fixtures.signals(spark, sf_dir).select("ticker", "date", *[c.alias(n) for n, c in zones.items()])
-    joined = scored.join(fixtures.verdict_answers(spark, sf_dir), ["ticker", "date"], "left")
+    signals = staged(fixtures.signals(spark, sf_dir))
+    scored = signals.select("ticker", "date", *[c.alias(n) for n, c in zones.items()])
+    joined = scored.join(fixtures.verdict_answers(signals), ["ticker", "date"], "left")
     zone, news = F.col("conviction_zone"), F.col("has_news")
     return joined.withColumns(
         {"verdict": sg.verdict(zone, news, F.col("leaning_action"), F.col("answer")), "consulted": sg.consults(zone, news)}

@@ -8,9 +8,7 @@ TICKER_SQL = (
 )
 
 TRADES = f"""trades AS (
- SELECT {TICKER_SQL.format(n='c_nationkey')}
-   || CASE WHEN c_custkey < 15000 THEN '' ELSE '_' || CAST(c_custkey // 15000 AS VARCHAR) END AS ticker,
-   l_extendedprice / l_quantity AS price, l_quantity AS qty, o_custkey, l_returnflag,
+ SELECT {TICKER_SQL.format(n='c_nationkey')} AS ticker, l_extendedprice / l_quantity AS price, l_quantity AS qty,
    l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
@@ -22,7 +20,7 @@ bars AS MATERIALIZED (
  SELECT ticker, (rn + 1) // 2 AS bar_no, arg_min(price, rn) AS open, max(price) AS high, min(price) AS low,
    arg_max(price, rn) AS close, sum(qty) AS volume,
    DATE '1995-01-01' + CAST((rn + 1) // 2 - 1 AS INTEGER) AS date
- FROM ticks GROUP BY ticker, (rn + 1) // 2 HAVING count(*) = 2)"""
+ FROM ticks GROUP BY ticker, (rn + 1) // 2)"""
 
 BENCHMARK = """spy AS (
  SELECT date, ln(close / lag(close) OVER (ORDER BY date)) AS ret_spy_1d,

@@ -69,11 +69,11 @@ def stream_rate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _appended(flags, "flags").select("caller", minute, "n", "flagged")
 
 
-@query("stream_dedup", "SELECT DISTINCT substr(md5(text), 1, 8) AS doc_key FROM documents")
+@query("stream_dedup", "SELECT DISTINCT substr(md5(text), 1, 8) AS doc_key, md5(text) AS content_key FROM documents")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     news = fixtures.news(spark, sf_dir).select("text", F.timestamp_seconds("published_at").alias("ts"))
     unique = jobs.stream_dedup(_stream_of(news, "documents"), watermark="60 days")
-    return _appended(unique.select("doc_key"), "unique")
+    return _appended(unique.select("doc_key", "content_key"), "unique")
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,13 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def replace_ranges(bars: DataFrame, path: str) -> None:
-    """Overwrite only the ticker partitions present in ``bars``."""
-    bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
+def content_key(text: Column) -> Column:
+    """Identity of a text."""
+    return F.md5(text)
 
 
 def doc_key(text: Column) -> Column:
+    """Short key for names; different texts may share it."""
     return F.substring(F.md5(text), 1, 8)
 
 
@@ -37,21 +38,27 @@ def archive_rows(news: DataFrame, ingested_at: Column, source: str = "api_ingest
             "ingested_at": ingested_at,
             "source": F.lit(source),
             "doc_key": doc_key(F.col("text")),
+            "content_key": content_key(F.col("text")),
             "year": F.date_format(ingested_at, "yyyy"),
             "month": F.date_format(ingested_at, "MM"),
             "day": F.date_format(ingested_at, "dd"),
         }
     )
-    keys = ["year", "month", "day", "doc_key"]
+    keys = ["year", "month", "day", "doc_key", "content_key"]
     rest = [c for c in stamped.columns if c not in keys]
     # a later write of the same key replaces the earlier one
     newest = stamped.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ingested_at", "url")).alias("_r"))
     return newest.select(*keys, "_r.*").withColumn(
-        "s3_key", F.format_string("raw/news/%s/%s/%s/doc_%s.json", "year", "month", "day", "doc_key")
+        "s3_key", F.format_string("raw/news/%s/%s/%s/doc_%s.json", "year", "month", "day", "content_key")
     )
 
 
 def write_archive(rows: DataFrame, path: str) -> None:
+    """Append the texts that their day does not hold yet, so that a repeated run adds nothing."""
+    spark, keys = rows.sparkSession, ["year", "month", "day", "content_key"]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        rows = rows.join(spark.read.schema(rows.schema).json(path).select(*keys), keys, "left_anti")
     rows.write.mode("append").partitionBy("year", "month", "day").json(path)
 
 

@@ -17,7 +17,7 @@ from quantframe.operators.bars import tick_bars
 from quantframe.operators.chat import START_CREDITS, message_cost, rate_flags
 from quantframe.operators.news import chunk_documents, dead_letters, to_vectors, valid_news, validate_news
 from quantframe.operators.tables import last_write_wins
-from quantframe.sources.files import doc_key
+from quantframe.sources.files import content_key, doc_key
 
 # Delay and number of repeated attempts.
 RETRY_SECONDS, MAX_RETRIES = 10, 3
@@ -165,8 +165,8 @@ def stream_bars(ticks: DataFrame, width: str = "1 day", watermark: str = "1 hour
 
 def stream_dedup(documents: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Documents (text, ts) whose content was not seen within the watermark."""
-    keyed = documents.withColumn("doc_key", doc_key(F.col("text")))
-    return keyed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["doc_key"])
+    keyed = documents.withColumns({"doc_key": doc_key(F.col("text")), "content_key": content_key(F.col("text"))})
+    return keyed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["content_key"])
 
 
 LEDGER_SCHEMA = "user_id string, conv_id long, turn long, cost double, blocked boolean, credits_remaining double"

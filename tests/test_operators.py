@@ -20,7 +20,6 @@ from quantframe.operators import alerts as al
 from quantframe.operators import bars as br
 from quantframe.operators import chat as ch
 from quantframe.operators import labels as lb
-from quantframe.operators import ledger as lg
 from quantframe.operators import news as nw
 from quantframe.operators import portfolio as pf
 from quantframe.operators import predictions as pr
@@ -234,41 +233,6 @@ def test_alert_log_matches_a_fold(spark):
     assert got == state
 
 
-def test_ledger_matches_a_fold(spark):
-    rng = random.Random(1)
-    orders = [(f"t{u % 2}", f"u{u}", i, rng.choice("xyz"), rng.choice(["buy", "SELL", "hold"]), float(rng.choice([-1, 0, 5, 50, 400])), rng.choice([None, 0.0, 10.0, 120.0]))
-              for i, u in enumerate(rng.choices(range(4), k=600))]
-    cash, held, want = {}, {}, {}
-    for t, u, i, ticker, action, q, p in orders:
-        key, action = (t, u), action.upper()
-        money = cash.setdefault(key, 100000.0)
-        have, cost = held.get((key, ticker), (0.0, 0.0))
-        if action not in ("BUY", "SELL") or q <= 0 or not p:
-            ok = False
-        elif action == "BUY":
-            ok = money >= q * p
-            if ok:
-                cash[key], held[key, ticker] = money - q * p, (have + q, (have * cost + q * p) / (have + q))
-        else:
-            ok = have >= q
-            if ok:
-                cash[key], held[key, ticker] = money + q * p, (have - q, cost)
-                if have == q:
-                    del held[key, ticker]
-        want.setdefault(key, []).append((ok, cash[key]))
-    df = spark.createDataFrame(orders, "tenant_id string, user_id string, seq int, ticker string, action string, quantity double, price double")
-    replayed = lg.ledger_replay(df, ["seq"]).cache()
-    got: dict = {}
-    for r in replayed.orderBy("order_no").collect():
-        got.setdefault((r.tenant_id, r.user_id), []).append((r.status == "accepted", pytest.approx(r.cash_after)))
-    assert {k: [(a, pytest.approx(c)) for a, c in v] for k, v in want.items()} == got
-    accounts = df.select("tenant_id", "user_id").distinct().unionByName(spark.createDataFrame([("t9", "new")], "tenant_id string, user_id string"))
-    status = lg.portfolio_status(replayed, accounts).collect()
-    open_positions = {((r.tenant_id, r.user_id), r.ticker): (pytest.approx(r.quantity), pytest.approx(r.average_buy_price)) for r in status if r.ticker}
-    assert {(k, t.upper()): v for (k, t), v in held.items()} == open_positions
-    assert [r.cash for r in status if r.user_id == "new"] == [100000.0]
-
-
 def test_credits_block_once_used_up(spark):
     rng = random.Random(7)
     rows = [(f"u{rng.randrange(3)}", c, t, rng.choice([*ch.MODEL_COSTS, "odd", "failed_all"]), rng.random() < 0.2) for c in range(120) for t in range(2)]
@@ -355,6 +319,16 @@ def test_archive_keeps_one_document_per_day_and_text(spark):
     assert sorted(r.url for r in rows) == ["u2", "u3", "u4"]
 
 
+def test_archive_tells_texts_with_one_short_key_apart_and_repeats_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "doc_key", lambda text: F.lit("0badcafe"))
+    df = spark.createDataFrame([("a", "u1", 0.0), ("b", "u2", 0.0)], "text string, url string, at double")
+    rows = files.archive_rows(df, tx.epoch_ntz(F.col("at")))
+    for _ in range(2):
+        files.write_archive(rows, str(tmp_path / "archive"))
+    stored = spark.read.schema(rows.schema).json(str(tmp_path / "archive")).collect()
+    assert sorted(r.text for r in stored) == ["a", "b"] and len({r.s3_key for r in stored}) == 2
+
+
 # --- retrieval -------------------------------------------------------------------------------
 
 
