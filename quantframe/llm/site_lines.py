@@ -32,8 +32,20 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, GAPS, " ")))
 
 
+def _on_different_pages(facts: DataFrame, common: DataFrame, ratio: float, least: int) -> DataFrame:
+    """Those of ``common(_host, key, n, pages)`` that reach the ratio of their length on pages of different longest lines."""
+    common = staged(common)
+    lists = common.groupBy("_host").agg(F.collect_list("key").alias("_drop"))
+    found = F.filter(F.array_distinct("_marks"), lambda x: F.array_contains("_drop", x["key"]))
+    held = facts.join(lists, "_host").select("_host", F.array_max("_marks")["key"].alias("longest"), F.explode(found).alias("mark"))
+    held = held.select("_host", "mark.key", "mark.size", "longest").distinct()
+    held = held.groupBy("_host", "key").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("longests"))
+    reached = F.col("n") * F.col("size") >= F.lit(ratio) * F.col("pages")
+    return common.join(held, ["_host", "key"]).where(reached & (F.col("longests") >= least) & (2 * F.col("longests") >= F.col("n")))
+
+
 def drop_site_lines(
-    pages: DataFrame, host: str, text: str, boilerplate_ratio: float = 0.1, min_pages: int = 3
+    pages: DataFrame, host: str, text: str, boilerplate_ratio: float = 0.1, min_pages: int = 3, floor: float | None = None
 ) -> DataFrame:
     """Add ``kept_text``, ``n_lines`` and ``n_dropped`` to ``pages``.
 
@@ -42,8 +54,13 @@ def drop_site_lines(
     blanks as one; blank lines stay.  A null text has no lines and stays null; an empty one stays empty;
     a null host is a host of its own.  Every row returns, repeated rows included, with its own columns.
 
+    With ``floor`` the ratio falls with the line's length: ``boilerplate_ratio`` divided by its characters, but
+    not under ``floor``.  Short lines recur by chance, long ones do not.  As so low a ratio would also meet
+    what near copies of one page share, such a line must stand on pages that differ otherwise: their
+    distinct longest lines number at least ``min_pages`` and half the page contents.
+
     A line above the ratio uses up that share of its host's lines, so a host has at most (mean lines per
-    page) / ratio of them: that small list per host is what meets the pages, not a join by line.
+    page) / ratio (or floor) of them: that small list per host is what meets the pages, not a join by line.
     """
     made = ("_host", "_lines", "_keys", "_page", "_drop")
     if clash := [c for c in (*made, "kept_text", "n_lines", "n_dropped") if c in pages.columns]:
@@ -51,15 +68,19 @@ def drop_site_lines(
     lines = F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(text), "\n"))
     read = pages.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("\0")), "_lines": lines})
     normals = F.transform("_lines", _normal)
-    keys = F.transform(F.filter(normals, lambda x: x != ""), lambda x: F.xxhash64(x))
+    bodies = F.filter(normals, lambda x: x != "")
+    marks = F.transform(bodies, lambda x: F.struct(F.length(x).alias("size"), F.xxhash64(x).alias("key")))
 
     # a null key stands for the page itself, so one pass over the texts gives lines and page totals
-    facts = read.where(F.col(text).isNotNull()).select("_host", F.xxhash64(text).alias("_page"), keys.alias("_keys"))
-    every = F.concat(F.array_distinct("_keys"), F.array(F.lit(None).cast("bigint")))
+    facts = read.where(F.col(text).isNotNull()).select("_host", F.xxhash64(text).alias("_page"), marks.alias("_marks"))
+    facts = facts if floor is None else staged(facts)
+    every = F.concat(F.array_distinct("_marks.key"), F.array(F.lit(None).cast("bigint")))
     counted = facts.select("_host", "_page", F.explode(every).alias("key")).distinct().groupBy("_host", "key").agg(F.count(F.lit(1)).alias("n"))
     counted = staged(counted.where(F.col("key").isNull() | (F.col("n") >= min_pages)))
     totals = counted.where("key is null").select("_host", F.col("n").alias("pages"))
-    common = counted.where("key is not null").join(totals, "_host").where(F.col("n") >= F.lit(boilerplate_ratio) * F.col("pages"))
+    common = counted.where("key is not null").join(totals, "_host").where(F.col("n") >= F.lit(boilerplate_ratio if floor is None else floor) * F.col("pages"))
+    if floor is not None:
+        common = _on_different_pages(facts, common, boilerplate_ratio, min_pages)
     common = common.groupBy("_host").agg(F.collect_list("key").alias("_drop"))
 
     joined = read.join(common, "_host", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<bigint>")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -213,6 +214,37 @@ def test_site_lines(spark):
     assert site_lines.drop_site_lines(table.limit(0), "host", "body").count() == 0
 
 
+def test_source_lines_of_every_size(spark):
+    """Lines that go from documents are those of a brute-force run, in small and large sources alike."""
+    notice, rare = "this work is licensed under a public license", "all other rights in this text are reserved"
+    rows, copy = [], " ".join(f"copied{k}" for k in range(60))
+    for source, size in (("small", 40), ("large", 1200)):
+        for i in range(size):
+            own = " ".join(f"{source}{i}w{k}" for k in range(20))
+            lines = [own] + ["The."] * (i % 50 == 0) + [notice.upper()] * (i % 12 == 0) + [rare] * (i % 300 == 7)
+            rows.append((len(rows), "\n".join(lines), "en", source, 0))
+        rows += [(len(rows) + k, f"{copy}\nwhat only near copies share with each other\nversion {source} {k}", "en", source, 0) for k in range(8)]
+    want = {}
+    for source in ("small", "large"):
+        texts = {tuple(line.lower() for line in r[1].split("\n")) for r in rows if r[3] == source}
+        on = {}
+        for t in texts:
+            for line in set(t):
+                on.setdefault(line, []).append(max(t, key=len))
+        for line, tops in on.items():
+            if len(tops) >= max(0.002, 0.1 / len(line)) * len(texts) and len(set(tops)) >= max(3, len(tops) / 2):
+                want[source, line] = len(tops)
+    assert want == {("small", notice): 4, ("large", notice): 100, ("large", rare): 4}
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    gone = {}
+    for r in got.collect():
+        kept = r["text"].split("\n")
+        for line in rows[r["doc_id"]][1].split("\n"):
+            if line not in kept:
+                gone[r["source"], line.lower()] = gone.get((r["source"], line.lower()), 0) + 1
+    assert gone == want
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Shall we meet?\n\nI am free on Monday."),
