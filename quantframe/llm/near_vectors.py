@@ -1,5 +1,6 @@
 """Near-duplicate vectors by NN-descent.
 
+0.  Equal vectors are one, with a count: copies would fill each other's lists.
 1.  A first graph: vectors are sorted several times along random sign codes, cut into chunks, and each keeps
     its nearest of the chunk.
 2.  Refinement: the neighbours of a vector, in both directions, are compared with each other (neighbours of
@@ -7,12 +8,16 @@
 3.  A sample of vectors is compared with all of them, in blocks; while the graph misses too many of their
     links, lists are made longer and refined further.
 4.  Edges above the threshold connect vectors into components.  A list that is full of such edges is
-    saturated: it may lack links.  Every list is therefore enlarged to its component, which holds all links
-    of its members, and the links are counted block by block in double precision without listing the pairs.
+    saturated: it may lack links, also to another component, and the other end lacks them only where its list
+    is saturated too.  All saturated lists are therefore held against each other in blocks, and where the
+    sample still misses links after the last round all vectors are; what is found joins components.
+5.  Every list is enlarged to its component, and the links are counted block by block in double precision
+    without listing the pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +31,8 @@ from quantframe.session import staged
 
 #: Vectors compared with each other at a time.
 CHUNK = 512
+#: Tasks that share the copies of one vector.
+SALTS = 32
 EDGES = "a long, b long, sim double"
 
 
@@ -50,6 +57,11 @@ def _unit(column: pd.Series) -> pd.Series:
     return column.map(one)
 
 
+def _key(column: pd.Series) -> pd.Series:
+    """Full hash of a vector's bytes."""
+    return column.map(lambda v: None if v is None else hashlib.sha256((np.asarray(v) + 0.0).tobytes()).digest())
+
+
 def _coded(trees: int, bits: int, dim: int):
     """Each vector once per tree with its sign code and a last projection that breaks ties."""
 
@@ -167,22 +179,47 @@ def _sampled_links(sample: list, threshold: float, dim: int):
     return run
 
 
+def _across(threshold: float):
+    """Components that a link between two blocks joins."""
+
+    def run(group: pa.Table) -> pa.Table:
+        left, right = group.column("side").to_numpy() <= 1, group.column("side").to_numpy() >= 1
+        x, whole = _matrix(group.column("unit"), len(group.column("unit")[0])), group.column("component").to_numpy()
+        near = (x[left] @ x[right].T >= threshold) & (whole[left][:, None] != whole[right][None, :])
+        i, j = np.nonzero(near)
+        a, b = np.unique(np.stack([whole[left][i], whole[right][j]]), axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
 def _count_links(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         left, right = group.column("side").to_numpy() <= 1, group.column("side").to_numpy() >= 1
         dim = len(group.column("unit")[0])
-        ids, x = group.column("vec_id").to_numpy(), _matrix(group.column("unit"), dim)
-        near = (x[left] @ x[right].T >= threshold) & (ids[left][:, None] != ids[right][None, :])
+        ids, x, copies = group.column("vec_id").to_numpy(), _matrix(group.column("unit"), dim), group.column("copies").to_numpy()
+        near = x[left] @ x[right].T >= threshold
         inside = bool((left & right).any())  # a block with itself: every pair is seen from both ends
         found = pa.array(np.concatenate([ids[left], np.empty(0, np.int64) if inside else ids[right]]))
-        n = np.concatenate([near.sum(1), np.empty(0, np.int64) if inside else near.sum(0)])
+        # a vector links with its own copies, not with itself
+        own = (near & (ids[left][:, None] == ids[right][None, :])).sum(1)
+        n = np.concatenate([near @ copies[right] - own, np.empty(0, np.int64) if inside else near.T @ copies[left]])
         return pa.table({"vec_id": found, "n": pa.array(n.astype(np.int64))})
 
     return run
 
 
+def _paired(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed`` once for every block that theirs meets; a pair of blocks is ``i``, ``j``."""
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    columns = ("component", "vec_id", "unit", "copies")
+    pairs = placed.select(*columns, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
+    return pairs.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), *columns)
+
+
 def _links_of_dim(units: DataFrame, dim: int, threshold: float, k: int, trees: int, rounds: int, audit: int, recall: float) -> DataFrame:
-    """``(vec_id, n_links, component)`` of vectors of one dimension that link with something."""
+    """``(vec_id, n_links, component)`` of different vectors of one dimension that link with another or with copies."""
     spark = units.sparkSession
     total = units.count()
     bits = max(1, int(np.ceil(np.log2(max(total / CHUNK, 2)))))
@@ -193,26 +230,31 @@ def _links_of_dim(units: DataFrame, dim: int, threshold: float, k: int, trees: i
     graph = staged(_best(coded.select("vec_id", "unit").mapInArrow(_chunked(k, dim), EDGES), k))
     sample = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(audit).select("vec_id", "unit").collect()
     true = staged(units.select("vec_id", "unit").mapInArrow(_sampled_links(sample, threshold, dim), "a long, b long"))
-    there = true.count()
+    sought = true.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     for turn in range(rounds):
         graph = _refined(graph, units, k, dim)
         links = graph.where(F.col("sim") >= threshold).select("a", "b")
         group = staged(components(links))
         ends = true.join(group.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(group.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
-        met = ends.where("x = y").count() if there else 0
-        if turn and met >= recall * there:
+        # each sampled vector counts alike, however many links it has
+        shares = ends.groupBy("a").agg(F.sum(F.when(F.col("x") == F.col("y"), 1).otherwise(0)).alias("met"))
+        shares = sought.join(shares, "a", "left").agg(F.avg(F.coalesce("met", F.lit(0)) / F.col("n"))).first()[0]
+        met, full = shares is None or shares >= recall, k
+        if turn and met:
             break
         k = 2 * k if turn else k  # the audit failed: longer lists
-    # what the audit itself found belongs to the graph too
-    group = staged(components(links.unionByName(true)))
+    saturated = links.groupBy("a").count().where(F.col("count") >= full).select(F.col("a").alias("vec_id"))
+    rest = units.join(saturated, "vec_id") if met else units
+    rest = staged(rest.join(group.withColumnRenamed("id", "vec_id"), "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id")))
+    many = rest.withColumn("blocks", F.lit(int(np.ceil(max(rest.count(), 1) / (2 * CHUNK)))))
+    joined = _paired(many).groupBy("i", "j").applyInArrow(_across(threshold), "a long, b long")
+    # what the audit itself found belongs to the graph too, and so do copies
+    copied = units.where("copies > 1").select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"))
+    group = staged(components(links.unionByName(true).unionByName(joined).unionByName(copied)))
     sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     placed = group.join(sizes, "component").join(units, group["id"] == units["vec_id"])
-    blocks = F.ceil(F.col("members") / F.lit(2 * CHUNK)).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    pairs = placed.select("component", "vec_id", "unit", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
-    pairs = pairs.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "vec_id", "unit")
-    counted = pairs.groupBy("component", "i", "j").applyInArrow(_count_links(threshold), "vec_id long, n long")
+    placed = placed.withColumn("blocks", F.ceil(F.col("members") / F.lit(2 * CHUNK)).cast("int"))
+    counted = _paired(placed).groupBy("component", "i", "j").applyInArrow(_count_links(threshold), "vec_id long, n long")
     counted = counted.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     return counted.join(group.withColumnRenamed("id", "vec_id"), "vec_id").select("vec_id", "n_links", "component")
 
@@ -232,16 +274,23 @@ def vector_links(
     unit = F.pandas_udf(_unit, "array<double>")
     named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     once = named.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    units = staged(once.select("vec_id", unit("embedding").alias("unit")).withColumn("dim", F.size("unit")))
+    key = F.pandas_udf(_key, "binary")
+    units = once.select("vec_id", unit("embedding").alias("unit"))
+    units = staged(units.withColumn("dim", F.size("unit")).withColumn("key", key("unit")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))))
+    firsts = units.where("unit is not null").groupBy("key", "dim").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    firsts = staged(units.select("vec_id", "unit", "key", "salt").join(firsts.select("vec_id", "dim", "copies"), "vec_id"))
     found = None
-    for row in units.where("unit is not null").groupBy("dim").count().where("count > 1").select("dim").collect():  # a row per dimension
-        part = _links_of_dim(units.where(F.col("dim") == row[0]).drop("dim"), row[0], threshold, k, trees, rounds, audit, recall)
+    for row in firsts.groupBy("dim").agg(F.sum("copies").alias("n")).where("n > 1").select("dim").collect():  # a row per dimension
+        part = firsts.where(F.col("dim") == row[0]).select("vec_id", "unit", "copies")
+        part = _links_of_dim(part, row[0], threshold, k, trees, rounds, audit, recall)
         found = part if found is None else found.unionByName(part)
-    every = units.select("vec_id")
+    every = units.select("vec_id", "key", "salt")
     if found is None:
         every = every.withColumns({"n_links": F.lit(0).cast("long"), "component": F.lit(None).cast("long")})
     else:
-        every = every.join(found, "vec_id", "left")
+        salts = F.when(F.col("copies") > 1, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array("salt"))
+        found = found.join(firsts, "vec_id").select("key", F.explode(salts).alias("salt"), "n_links", "component")
+        every = every.join(found, ["key", "salt"], "left")
     every = every.unionByName(named.where("vec_id is null").select("vec_id"), allowMissingColumns=True)
     out = every.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -91,6 +91,23 @@ def test_vectors(spark):
     assert near_vectors.vector_links(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.002])
+def test_full_lists_lose_no_link(spark, noise):
+    """Two groups of 20 equal or very close vectors at cosine 0.93, which an audit of one vector does not meet."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 16))
+    x[20], x[40] = 0, 0
+    x[20, 0], x[40, :2] = 1, (0.93, np.sqrt(1 - 0.93**2))
+    x[21:40], x[41:60] = x[20] + noise * rng.standard_normal((19, 16)), x[40] + noise * rng.standard_normal((19, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0, 2.0]), (901, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.9).sum(1) - 1
+    got = {r[0]: r for r in near_vectors.vector_links(frame, audit=1).collect()}
+    assert all(got[i]["n_links"] == near[i] for i in range(400)) and len(got) == 402
+    assert {got[i]["component_id"] for i in range(20, 60)} == {20}
+    assert got[901]["component_id"] == 900 and got[901]["n_links"] == 1 and not got[901]["kept"]
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, f"plain words about topic{i % 17} and more {'vile scoundrel' if i % 3 == 0 else 'kind person'} w{i}") for i in range(300)]
     table = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
