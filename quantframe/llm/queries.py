@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantframe.llm import bpe, chat, digests, near_text, near_vectors, packing, shards, site_lines, toxicity, warc
+from quantframe.llm import (
+    bpe, chat, digests, merkle, near_text, near_vectors, negatives, packing, quality, shards, site_lines, toxicity, warc,
+)
 from quantframe.llm.registry import ORACLES, QUERIES, query
 from quantframe.llm.sources import table
 
@@ -108,3 +110,87 @@ def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_nn_descent")
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.vector_links(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+with recursive crc as (
+  select list(v order by i) as t from (
+    select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+    from (select unnest(range(256)) as i))),
+doc as (
+  select *, (row_number() over (partition by lang order by doc_id nulls first)) - 1 as pos, count(*) over (partition by lang) as size,
+    n_chars is not null and coalesce(xor(list_reduce(list_concat([4294967295], [ord(c) for c in string_split(doc_id::varchar, '')]),
+      lambda c, b: xor(c >> 8, (select t from crc)[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0, false) as tampered
+  from documents),
+coded as (
+  select *, [coalesce(strlen(x) || ':' || x, '-') for x in [doc_id::varchar, source, lang, n_chars::varchar, text]] as p,
+    (n_chars + 1)::varchar as more
+  from doc),
+leaf as (
+  select doc_id, lang, pos, size, tampered, sha256(array_to_string(p, '')) as leaf,
+    sha256(p[1] || p[2] || p[3] || coalesce(strlen(more) || ':' || more, '-') || p[5]) as changed
+  from coded),
+tree as (
+  select lang, 0 as level, pos, size, leaf as h from leaf
+  union all
+  select lang, level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' order by pos)) from tree where size > 1
+  group by lang, level, pos // 2, (size + 1) // 2),
+subs as (select lang, h, (row_number() over (order by lang nulls first)) - 1 as pos, count(*) over () as size from tree where size = 1),
+top as (
+  select 0 as level, pos, size, h from subs
+  union all
+  select level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' order by pos)) from top where size > 1
+  group by level, pos // 2, (size + 1) // 2),
+walk as (
+  select l.doc_id, l.lang, l.pos, l.size, 0 as level, false as upper, case when tampered then changed else leaf end as h, '' as proof, leaf, tampered from leaf l
+  union all
+  select w.doc_id, w.lang,
+    case when w.size > 1 then w.pos // 2 when w.upper then w.pos else s.pos end,
+    case when w.size > 1 then (w.size + 1) // 2 when w.upper then 1 else s.size end,
+    case when w.size > 1 then w.level + 1 else 0 end,
+    w.upper or w.size = 1,
+    case when w.size = 1 then w.h when n.h is null then sha256(w.h) when w.pos % 2 = 0 then sha256(w.h || n.h) else sha256(n.h || w.h) end,
+    w.proof || coalesce(case when w.size > 1 then n.h end, ''), w.leaf, w.tampered
+  from walk w
+  left join (select lang, level, pos, h, false as upper from tree union all select null, level, pos, h, true from top) n
+    on n.upper = w.upper and (w.upper or n.lang is not distinct from w.lang) and n.level = w.level and n.pos = xor(w.pos, 1::bigint) and w.size > 1
+  join subs s on s.lang is not distinct from w.lang
+  where w.size > 1 or not w.upper)
+select doc_id, leaf, s.h as subroot, (select h from top where size = 1) as root, sha256(proof) as proof_sha256, w.h as folded_root,
+  w.h = (select h from top where size = 1) as verified
+from walk w join subs s on s.lang is not distinct from w.lang where w.upper and w.size = 1
+"""
+
+
+@query("op11_merkle", OP11_SQL)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents")).drop("witness")
+
+
+OP12_SQL = """
+with fine as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as v
+  from embeddings
+  where label is not null and embedding is not null and len(embedding) = len([x for x in embedding if x is not null and isfinite(x)])),
+scored as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as other, list_inner_product(a.v, b.v)::bigint as score
+  from fine a join fine b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positive as (
+  select anchor_id, other as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, other))::integer as rank,
+  other as negative_id, positive_score, score as negative_score
+from positive join scored using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.embedding_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
