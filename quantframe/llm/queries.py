@@ -120,8 +120,8 @@ with recursive crc as (
 doc as (
   select *, (row_number() over (partition by lang order by doc_id nulls first)) - 1 as pos, count(*) over (partition by lang) as size,
     n_chars is not null and coalesce(xor(list_reduce(list_concat([4294967295], [ord(c) for c in string_split(doc_id::varchar, '')]),
-      lambda c, b: xor(c >> 8, (select t from crc)[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0, false) as tampered
-  from documents),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0, false) as tampered
+  from documents, crc),
 coded as (
   select *, [coalesce(strlen(x) || ':' || x, '-') for x in [doc_id::varchar, source, lang, n_chars::varchar, text]] as p,
     (n_chars + 1)::varchar as more
