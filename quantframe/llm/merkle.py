@@ -125,43 +125,47 @@ def _append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sealed()
 
 
-def in_order(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Rows with ``pos``, their rank inside ``key`` (a null is a key), and ``n``, the key's row count.
+def in_order(df: DataFrame, key: str, order: Sequence[str]) -> tuple[DataFrame, int, int]:
+    """Rows with ``pos``, their rank inside ``key`` (a null is a key), and ``n``, the key's row count; all rows, the largest ``n``.
 
     One range sort over (key, order), so a hot key spreads over ranges; ranks come from counts per key and range.
     """
-    parts = max(1, math.ceil(df.count() / TASK_ROWS))
+    total = df.count()
+    parts = max(1, math.ceil(total / TASK_ROWS))
     ranged = df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order)
     ranged = staged(ranged.withColumn("at", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("part", F.shiftright("at", 33))
-    upto, whole = Window.partitionBy("k").orderBy("part"), Window.partitionBy("k")
+    upto, whole = Window.partitionBy("k").orderBy("p"), Window.partitionBy("k")
     counts = ranged.groupBy(F.col(key).alias("k"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("low"))
-    counts = counts.withColumnRenamed("p", "part")
-    counts = counts.select("k", F.col("part").alias("p"), "low", (F.sum("c").over(upto) - F.col("c")).alias("before"), F.sum("c").over(whole).alias("n"))
+    counts = counts.select("k", "p", "low", (F.sum("c").over(upto) - F.col("c")).alias("before"), F.sum("c").over(whole).alias("n"))
     on = (ranged["part"] == counts["p"]) & ranged[key].eqNullSafe(counts["k"])
-    return ranged.join(counts, on).select(*df.columns, (F.col("at") - F.col("low") + F.col("before")).alias("pos"), "n")
+    placed = ranged.join(counts, on).select(*df.columns, (F.col("at") - F.col("low") + F.col("before")).alias("pos"), "n")
+    return placed, total, counts.agg(F.max("n")).first()[0] or 0
 
 
-def _level(nodes: DataFrame) -> DataFrame:
+def _level(nodes: DataFrame, rows: int) -> DataFrame:
     """``nodes(key, pos, n, node, …)`` with ``block``, the block's ``root`` and the ``witness`` inside it."""
-    tasks = max(1, math.ceil(nodes.count() / TASK_ROWS))
+    tasks = max(1, math.ceil(rows / TASK_ROWS))
     blocks = nodes.withColumn("block", F.shiftright("pos", BITS)).repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "pos")
     schema = T.StructType([*blocks.schema.fields, T.StructField("root", T.BinaryType()), T.StructField("witness", T.ArrayType(STEP))])
     return staged(blocks.mapInArrow(_append, schema))
 
 
-def grow(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trees over ``nodes(key, pos, n, node, …)``: the nodes with their whole ``witness``, and ``(key, root)``."""
-    levels, most = [], nodes.agg(F.max("n")).first()[0] or 0
-    nodes = staged(nodes)
+def grow(nodes: DataFrame, rows: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Trees over ``rows`` ``nodes(key, pos, n, node, …)``: the nodes with their whole ``witness``, and ``(key, root)``.
+
+    ``most`` is the largest ``n``, the number of nodes of a key.
+    """
+    levels = []
     while True:
-        levels.append(_level(nodes))
+        levels.append(_level(nodes, rows))
         if most <= BLOCK:
             break
         # the first row of a block carries its root: block roots are the next level's appends
         most = math.ceil(most / BLOCK)
         first = levels[-1].where(F.col("pos") % BLOCK == 0)
         nodes = first.select("key", F.col("block").alias("pos"), F.ceil(F.col("n") / BLOCK).cast("long").alias("n"), F.col("root").alias("node"))
+        rows = nodes.count()
     roots = levels[-1].where("pos = 0").select("key", "root")
     upper = levels.pop().drop("root", "block")
     while levels:
@@ -197,10 +201,10 @@ def manifest(leaves: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     # equal rows are told apart by a written number, so that no range must hold them all
     given = staged(given.withColumn("place", F.monotonically_increasing_id()))
     names = [f"o{i}" for i in range(len(order))]
-    placed = in_order(given, "key", [*names, "node", "place"]).drop(*names, "place")
-    grown, subroots = grow(placed)
-    keys = in_order(subroots.select(F.lit(0).alias("all"), "key", F.col("root").alias("node")), "all", ["key"])
-    keys, roots = grow(keys.select(F.col("all").alias("key"), "pos", "n", "node", F.struct("key").alias("of")))
+    placed, rows, most = in_order(given, "key", [*names, "node", "place"])
+    grown, subroots = grow(placed.drop(*names, "place"), rows, most)
+    keys, rows, most = in_order(subroots.select(F.lit(0).alias("all"), "key", F.col("root").alias("node")), "all", ["key"])
+    keys, roots = grow(keys.select(F.col("all").alias("key"), "pos", "n", "node", F.struct("key").alias("of")), rows, most)
     root = roots.select("root").scalar()
     top = keys.select(F.col("of.key").alias("k"), F.col("node").alias("subroot"), F.col("witness").alias("more"), root.alias("root"))
     met = grown.join(top, grown["key"].eqNullSafe(top["k"]))

@@ -30,11 +30,12 @@ CANDIDATES, ANCHORS = 1 << 14, 1 << 13
 #: Rows read from each list in the first round; each further round reads twice as many.
 FIRST_DEPTH = 16
 SCALE = 256
-EXACT = float(1 << 53)
+#: Kinds of number for the products, each with the size up to which it holds every whole number.
+KINDS = ((np.float32, float(1 << 24)), (np.float64, float(1 << 53)), (object, float("inf")))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Whole-number rows of one width, shorter ones filled with zeros; doubles where their products stay exact."""
+    """Whole-number rows of one width, shorter ones filled with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     out = np.zeros((len(column), width), np.int64)
@@ -43,9 +44,9 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _comparable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as doubles if every product and sum is a whole number that a double holds, else as Python integers."""
+    """Both in the smallest kind that holds every product and sum exactly."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    kind = np.float64 if most < EXACT else object
+    kind = next(kind for kind, limit in KINDS if most < limit)
     return a.astype(kind), b.astype(kind)
 
 
@@ -54,34 +55,28 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray):
         self.ids, self.labels, self.rows = ids, labels, rows
-        self.order = np.argsort(rows, axis=0, kind="stable")  # ascending; a negative component reads from here
+        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)  # ascending; a negative component reads from here
 
     def search(self, anchor: np.ndarray, skip: np.ndarray, done) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, scores)`` of the rows read until ``done(scores, threshold)``; ``skip`` marks rows to leave out."""
-        n, used = len(self.ids), np.flatnonzero(anchor != 0)
-        order, signs = self.order[:, used], anchor[used] > 0
-        seen = skip.copy()
-        ids, scores = [np.empty(0, np.int64)], [np.empty(0, anchor.dtype)]
+        n, down, up = len(self.ids), np.flatnonzero(anchor > 0), np.flatnonzero(anchor < 0)
+        used, order = np.concatenate([up, down]), self.order
+        unseen, fresh = ~skip, np.zeros(n, bool)
+        ids, scores = np.empty(0, np.int64), np.empty(0, anchor.dtype)
         start, step = 0, FIRST_DEPTH
         while start < n:
             stop = min(n, start + step) if len(used) else n
-            low, high = order[start:stop], order[n - stop : n - start]
-            met = np.concatenate([low[:, ~signs].ravel(), high[:, signs].ravel()]) if len(used) else np.arange(n)
-            fresh = np.zeros(n, bool)
-            fresh[met] = True
-            fresh = np.flatnonzero(fresh & ~seen)
-            seen[fresh] = True
-            if len(fresh):
-                ids.append(self.ids[fresh])
-                scores.append(self.rows[fresh] @ anchor)
+            fresh[order[start:stop][:, up]] = True
+            fresh[order[n - stop : n - start][:, down]] = True
+            met = np.flatnonzero(fresh & unseen) if len(used) else np.flatnonzero(unseen)
+            unseen[met] = False
+            ids, scores = np.concatenate([ids, self.ids[met]]), np.concatenate([scores, self.rows[met] @ anchor])
             start, step = stop, step * 2
             if start < n:
-                last = np.where(signs, order[n - stop], order[stop - 1])
-                threshold = (self.rows[last, used] * anchor[used]).sum()
-                all_ids, all_scores = np.concatenate(ids), np.concatenate(scores)
-                if done(all_scores, threshold):
-                    return all_ids, all_scores
-        return np.concatenate(ids), np.concatenate(scores)
+                last = np.concatenate([order[stop - 1, up], order[n - stop, down]])
+                if done(scores, (self.rows[last, used] * anchor[used]).sum()):
+                    break
+        return ids, scores
 
 
 def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
