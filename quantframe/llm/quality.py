@@ -139,9 +139,9 @@ def fit(rows: DataFrame, scale: Scale, prior: float, ridge: float = RIDGE) -> np
     w, negative = solve(np.zeros(size), 1.0, 20)
     low, high = 0.0, 1.0
     while negative < -NEAR_ZERO or (high < 1 and negative > NEAR_ZERO):
-        t = (low + high) / 2
         if high - low < 1e-3:
-            break
+            return solve(w, low, 20)[0]
+        t = (low + high) / 2
         w, negative = solve(w, t, 12)
         low, high = (low, t) if negative < 0 else (t, high)
     return w

@@ -222,12 +222,12 @@ def test_risk_is_not_negative(spark):
     plain = np.zeros(31)
     for _ in range(200):
         s = 1 / (1 + np.exp(-z @ plain))
-        pull = (z * s[:, None]).mean(0) - 0.9 * z[trusted].mean(0) + 0.003 * plain
-        bend = (z * (s * (1 - s))[:, None]).T @ z / 400 + 0.003 * np.eye(31)
+        pull = (z * s[:, None]).mean(0) - 0.9 * z[trusted].mean(0) + 0.03 * plain
+        bend = (z * (s * (1 - s))[:, None]).T @ z / 400 + 0.03 * np.eye(31)
         step = np.linalg.solve(bend, pull)
         plain = plain - step * min(1, 1 / np.linalg.norm(step))
     assert part(plain) < -0.1
-    assert abs(part(quality.fit(rows, scale, 0.9, ridge=0.003))) < 0.02
+    assert abs(part(quality.fit(rows, scale, 0.9, ridge=0.03))) < 0.02
 
 
 def test_quality_of_sf(spark):
