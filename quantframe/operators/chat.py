@@ -33,23 +33,29 @@ def message_cost(model: Column, is_cached: Column) -> Column:
 LEDGER_BLOCK = 65536
 
 
-def credit_ledger(messages: DataFrame, start: float = START_CREDITS) -> DataFrame:
+def credit_ledger(messages: DataFrame, start: float = START_CREDITS, spent: DataFrame | None = None) -> DataFrame:
     """Charge, blocking and remaining credits per answer, in order of (conv_id, turn).
 
     ``messages`` has user_id, conv_id, turn, model and is_cached.  Credits are never topped up, so
     a user is blocked from the first message on whose preceding costs use them up.  Positions are
     numbered first, so that the running sums work on blocks of equal size however long one
-    conversation or one user's history is.
+    conversation or one user's history is.  ``spent(user_id, spent)``: what users have used before.
     """
     priced = messages.withColumn("cost", message_cost(F.col("model"), F.col("is_cached")))
+    zero = F.lit(0.0)
+    if spent is None:
+        priced = priced.withColumn("_used", zero)
+    else:
+        # one row a user: the planner sends it along or splits the hot user's side
+        priced = priced.join(spent.withColumnRenamed("spent", "_used"), "user_id", "left").fillna(0.0, ["_used"])
     buckets = [id_bucket("conv_id"), F.col("conv_id"), id_bucket("turn", 4096)]
     numbered = staged(with_ordinal(priced, ["user_id"], ["conv_id", "turn"], buckets, "_n"))
     block = id_bucket("_n", LEDGER_BLOCK)
     before = running(numbered, ["user_id"], ["_n"], block, sums={"_spent": F.col("cost")}, before_only=True)
-    decided = before.withColumn("blocked", F.col("_spent") >= start).drop("_spent")
-    charged = decided.withColumn("cost", F.when(F.col("blocked"), F.lit(0.0)).otherwise(F.col("cost")))
+    decided = before.withColumn("blocked", F.col("_spent") + F.col("_used") >= start).drop("_spent")
+    charged = decided.withColumn("cost", F.when(F.col("blocked"), zero).otherwise(F.col("cost")))
     total = running(charged, ["user_id"], ["_n"], block, sums={"_paid": F.col("cost")})
-    return total.withColumn("credits_remaining", F.lit(start) - F.col("_paid")).drop("_paid", "_n")
+    return total.withColumn("credits_remaining", F.lit(start) - F.col("_used") - F.col("_paid")).drop("_paid", "_n", "_used")
 
 
 def message_history(messages: DataFrame, bucket_width: int = 1024) -> DataFrame:

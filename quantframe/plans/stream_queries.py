@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,12 @@ from quantframe import fixtures
 from quantframe.functions.vectors import norm
 from quantframe.ml.text_models import embed_text
 from quantframe.operators.news import default_sentiment
-from quantframe.plans.account_queries import _MATCH
+from quantframe.plans.account_queries import _ALERTS
+from quantframe.plans.oracle_views import TICKER_SQL
 from quantframe.plans.registry import ORACLES, query
 from quantframe.plans.text_queries import _TRIM_CHARS, NEWS
-from quantframe.session import shared_dir
+from quantframe.session import shared_dir, staged
+from quantframe.sources.merged import names
 from quantframe.streaming import jobs
 
 
@@ -22,11 +26,35 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _stream_of(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as files and stream them."""
-    path = _folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+def _stream_of(
+    df: DataFrame, name: str, order: list[str] | None = None, files: int = 4, per_batch: int = 64, last: list[DataFrame] | None = None
+) -> DataFrame:
+    """Write a frame as files and stream them, ``per_batch`` at a time.
+
+    With ``order`` the files hold ranges of it and arrive in that order; the frames of ``last`` arrive after them.
+    """
+    spark, path = df.sparkSession, _folder(df.sparkSession, name)
+    (df.repartitionByRange(files, *order) if order else df).write.parquet(path)
+    arrived = _files(spark, path)
+    for frame in last or []:
+        frame.coalesce(1).write.mode("append").parquet(path)
+        arrived += [f for f in _files(spark, path) if f not in arrived]
+    if order or last:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for i, file in enumerate(arrived):  # a file stream takes the oldest first
+            store.setTimes(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{file}"), 1_700_000_000_000 + 1000 * i, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in names(spark, path) if n.startswith("part-")]
+
+
+def _closing(df: DataFrame, after: str, ts: str = "ts") -> DataFrame:
+    """One row ``after`` the last time of a frame, null elsewhere."""
+    last = df.agg((F.max(ts) + F.expr(f"interval {after}")).alias(ts))
+    return last.select(*[(F.col(ts) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
 
 
 def _appended(stream: DataFrame, name: str) -> DataFrame:
@@ -45,13 +73,12 @@ def _zoned(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query(
-    "stream_bars",
-    f"""WITH b AS ({ORACLES['tick_bars']}) SELECT * FROM b WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
-)
+@query("stream_bars", ORACLES["tick_bars"])
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = _stream_of(_zoned(fixtures.price_ticks(spark, sf_dir)), "ticks")
-    bars = jobs.stream_bars(ticks).select(
+    ticks = _zoned(fixtures.price_ticks(spark, sf_dir))
+    end = staged(_closing(ticks, "3 days"))
+    stream = _stream_of(ticks, "ticks", ["ts", "seq"], per_batch=2, last=[end])
+    bars = jobs.stream_bars(stream, closing=end.first()["ts"]).select(
         "ticker", F.to_date("w.start").alias("day"), "open", "high", "low", "close", "volume"
     )
     return _appended(bars, "bars")
@@ -59,12 +86,13 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_rate_flags",
-    f"""WITH r AS ({ORACLES['rate_flags']}) SELECT caller, strftime(window_start, '%Y-%m-%d %H:%M') AS minute, n, flagged FROM r
- WHERE window_start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""",
+    f"WITH r AS ({ORACLES['rate_flags']}) SELECT caller, strftime(window_start, '%Y-%m-%d %H:%M') AS minute, n, flagged FROM r",
 )
 def stream_rate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = _stream_of(_zoned(fixtures.rate_requests(spark, sf_dir)), "requests")
-    flags = jobs.stream_rate_flags(requests)
+    requests = _zoned(fixtures.rate_requests(spark, sf_dir))
+    end = staged(_closing(requests, "1 hour"))
+    stream = _stream_of(requests, "requests", ["ts", "event_id"], per_batch=2, last=[end])
+    flags = jobs.stream_rate_flags(stream, closing=end.first()["ts"])
     minute = F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("minute")
     return _appended(flags, "flags").select("caller", minute, "n", "flagged")
 
@@ -96,29 +124,40 @@ def stream_validate_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad)
 
 
+FLAKY_EVERY, FLAKY_TRIES = 5, 2
+
+
+def _attempt(bodies: pd.Series, tries: int) -> pd.Series:
+    """Messages that do not parse always fail, those of every fifth hour until their second repetition."""
+
+    def succeeds(body: str) -> bool:
+        try:
+            hour = json.loads(body)["published_at"] / 3600
+        except ValueError:
+            return False
+        return hour % FLAKY_EVERY != 0 or tries >= FLAKY_TRIES
+
+    return bodies.map(succeeds)
+
+
 @query(
     "stream_retry",
-    f"WITH {NEWS}, r AS (SELECT CASE WHEN doc_id % 19 = 0 OR contains(text, '{{') THEN 'dead' ELSE 'done' END AS outcome FROM news)"
-    " SELECT outcome, CASE outcome WHEN 'dead' THEN 3 ELSE 0 END::INTEGER AS retry_count, count(*) AS n FROM r GROUP BY 1, 2",
+    f"""WITH {NEWS}, k AS (SELECT CASE WHEN doc_id % 19 = 0 THEN 3 WHEN (published_at / 3600)::BIGINT % 5 = 0 THEN 2 ELSE 0 END AS tries, doc_id % 19 = 0 AS bad FROM news),
+a AS (SELECT 'again' AS outcome, unnest(range(tries)) AS retry_count FROM k UNION ALL SELECT CASE WHEN bad THEN 'dead' ELSE 'done' END, tries FROM k)
+SELECT outcome, retry_count::INTEGER AS retry_count, count(*) AS n FROM a GROUP BY 1, 2""",
 )
 def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages that do not parse, or whose text has a brace, always fail; time moves past the delay each round."""
-    source = _messages(spark, sf_dir)
-    retry, done, dead = (_folder(spark, n) for n in ("retry", "done", "dead"))
-    spark.createDataFrame([], jobs.RETRY_SCHEMA).write.json(f"{retry}/start")
-    checkpoint, clock = _folder(spark, "checkpoint"), {"now": fixtures.NEWS_EPOCH}
-
-    def failed(batch: DataFrame):
-        body = F.get_json_object("body", "$.text")
-        return body.isNull() | F.contains(body, F.lit("{"))
-
-    for _ in range(jobs.MAX_RETRIES + 1):
-        jobs.drain(jobs.stream_retry(source, retry, done, dead, checkpoint, failed, lambda: clock["now"]))
-        clock["now"] += jobs.RETRY_SECONDS + 1
-    rows = spark.read.parquet(done).withColumn("outcome", F.lit("done")).unionByName(
-        spark.read.parquet(dead).withColumn("outcome", F.lit("dead"))
-    )
-    return rows.groupBy("outcome", "retry_count").agg(F.count(F.lit(1)).alias("n"))
+    """Attempts by outcome; clock rows twelve seconds apart let the timers expire one after another."""
+    start = F.timestamp_seconds(F.lit(fixtures.NEWS_EPOCH))
+    messages = fixtures.messages(spark, sf_dir).select("body", start.alias("at"))
+    nothing = F.lit(None).cast("string").alias("body")
+    later = lambda i: F.timestamp_seconds(F.lit(fixtures.NEWS_EPOCH + 12.0 * (i + 1))).alias("at")
+    clock = [spark.range(1).select(nothing, later(i)) for i in range(jobs.MAX_RETRIES + 1)]
+    stream = _stream_of(messages.repartition(2), "messages", per_batch=1, last=clock)
+    hour = F.get_json_object("body", "$.published_at").cast("double") / 3600
+    failed = F.get_json_object("body", "$.text").isNull() | (hour % FLAKY_EVERY == 0)
+    attempts = _appended(jobs.stream_retry(stream, failed, _attempt), "attempts")
+    return attempts.groupBy("outcome", "retry_count").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _rule_scorer(news: DataFrame) -> DataFrame:
@@ -127,29 +166,49 @@ def _rule_scorer(news: DataFrame) -> DataFrame:
     return news.withColumns(scores)
 
 
-@query("stream_enrich")
+@query(
+    "stream_enrich",
+    f"""WITH {NEWS}, v AS (SELECT trim(text, '{_TRIM_CHARS}') AS text, published_at, ticker FROM news
+ WHERE doc_id % 19 <> 0 AND trim(text, '{_TRIM_CHARS}') <> '' AND NOT no_ticker),
+s AS (SELECT *, unnest(range(0, greatest(ceil((length(text) - 500) / 450.0), 0)::BIGINT + 1)) AS i FROM v),
+c AS (SELECT md5(substr(text, i * 450 + 1, 500) || '_' || i || '_' || CAST(published_at::BIGINT AS VARCHAR) || '.0') AS id, ticker,
+ CASE WHEN length(text) > 1000 THEN 'POSITIVE' ELSE 'NEUTRAL' END AS sentiment, length(substr(text, i * 450 + 1, 500)) AS n FROM s)
+SELECT 'fin_news_v1' AS namespace, id, min(ticker) AS ticker_principal, min(sentiment) AS sentiment, min(n)::INTEGER AS n_chars FROM c GROUP BY id""",
+)
 def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "vectors")
+    """Three batches, the first two merged into the base while the stream runs."""
+    path, queue = _folder(spark, "vectors"), _folder(spark, "queue")
+    fixtures.messages(spark, sf_dir).select("body").repartition(3).write.text(queue)
     job = jobs.stream_enrich(
-        _messages(spark, sf_dir), path, _folder(spark, "checkpoint"), _rule_scorer, lambda c: embed_text(c, "chunk")
-    )
+        jobs.queue_source(spark, queue, files_per_batch=1), path, _folder(spark, "checkpoint"), _rule_scorer,
+        lambda c: embed_text(c, "chunk"), merge_every=2, mode="fixed",
+    )
     jobs.drain(job)
-    records = jobs.read_vectors(spark, path)
-    return records.select("namespace", "id", "ticker_principal", "sentiment", F.round(norm(F.col("embedding")), 4).alias("length"))
+    records = jobs.read_vectors(spark, path).where(norm(F.col("embedding")) >= 0)
+    return records.select("namespace", "id", "ticker_principal", "sentiment", F.length("text").alias("n_chars"))
 
 
-@query("stream_alerts", f"WITH {_MATCH} SELECT alert_id, ticker, price FROM met")
+@query(
+    "stream_alerts",
+    f"""WITH {_ALERTS}, ticks AS (SELECT {TICKER_SQL.format(n='user_id')} AS ticker, ts, event_id AS seq, value AS price FROM events WHERE value <> 0)
+SELECT alert_id, any_value(ticker) AS ticker, arg_min(price, (ts, seq)) AS price, min(seq) FILTER (seq = first_seq) AS seq FROM (
+ SELECT a.alert_id, a.ticker, price, ts, seq, arg_min(seq, (ts, seq)) OVER (PARTITION BY a.alert_id) AS first_seq FROM alerts a JOIN ticks t ON a.ticker = t.ticker
+ WHERE status = 'active' AND ((condition = 'above' AND price >= target_price) OR (condition = 'below' AND price <= target_price)))
+GROUP BY alert_id""",
+)
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fired = _folder(spark, "fired")
-    ticks = _stream_of(fixtures.price_ticks(spark, sf_dir), "ticks")
-    jobs.drain(jobs.stream_alerts(ticks, lambda: fixtures.alerts(spark, sf_dir), fired, _folder(spark, "checkpoint")))
-    return spark.read.parquet(fired).select("alert_id", "ticker", "price")
+    stream = _stream_of(fixtures.price_ticks(spark, sf_dir), "ticks", ["ts", "seq"], per_batch=2)
+    alerts = staged(fixtures.alerts(spark, sf_dir))
+    return _appended(jobs.stream_alerts(stream, alerts), "fired").select("alert_id", "ticker", "price", "seq")
 
 
 @query("stream_credit_ledger", ORACLES["credit_ledger"])
 def stream_credit_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = _stream_of(fixtures.answers(spark, sf_dir), "answers")
-    return _appended(jobs.stream_credit_ledger(answers), "ledger")
+    answers = _stream_of(fixtures.answers(spark, sf_dir), "answers", ["conv_id", "turn"], per_batch=2)
+    ledger = _folder(spark, "ledger")
+    job = jobs.stream_credit_ledger(answers, ledger, _folder(spark, "balances"), _folder(spark, "checkpoint"), merge_every=1)
+    jobs.drain(job)
+    return spark.read.parquet(ledger).select(*jobs.LEDGER_COLUMNS)
 
 
 @query("queue_source", f"WITH {NEWS} SELECT count(*) AS n_messages, count(DISTINCT doc_id) AS n_documents FROM news")
