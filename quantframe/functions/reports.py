@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NO_NEWS = "No recent macroeconomic news found for this asset."
-COLD_NEWS = "N/A (Skipped - COLD zone)"
+NO_NEWS = "(nothing published about it in these days)"
+COLD_NEWS = "(not looked up: the signal is cold)"
 
 
 def news_text(title: Column, description: Column, published_at: Column, url: Column) -> Column:
@@ -27,7 +27,7 @@ def age_label(seconds: Column) -> Column:
 
 
 def news_line(age: Column, text: Column, sentiment: Column, score: Column) -> Column:
-    return F.format_string("- [AGE: %s] %s [FinBERT: %s (Score: %.2f)]", age, text, sentiment, score)
+    return F.format_string("- %s | %s | %s %.2f", age, text, sentiment, score)
 
 
 def percent(value: Column) -> Column:
@@ -38,23 +38,15 @@ def audit_markdown(
     ticker: Column, day: Column, decision: Column, leaning: Column, zone: Column, probability: Column,
     drivers: Column, final: Column, consulted: Column, context: Column,
 ) -> Column:
-    """Report text of one signal."""
-    asked = F.when(consulted, F.lit("Yes")).otherwise(F.lit("No, bypassed due to strict execution rules"))
-    return F.concat(
-        F.lit("# Neurosymbolic Audit Trail - "), ticker, F.lit(" ("), day.cast("string"), F.lit(")\n\n"),
-        F.lit("## 1. Quant Engine Output\n* **Base Decision:** "), decision,
-        F.lit("\n* **Leaning Action:** "), leaning,
-        F.lit("\n* **Conviction Zone:** "), zone,
-        F.lit("\n* **Probability:** "), percent(probability),
-        F.lit("\n* **Top SHAP Drivers:** "), drivers,
-        F.lit("\n\n## 2. LLM Portfolio Manager Output\n* **Final Verdict Executed:** **"), final,
-        F.lit("**\n* *(Did the LLM evaluate this? "), asked,
-        F.lit(")*\n\n## 3. NLP Context Provided (FinBERT)\n"), context, F.lit("\n"),
-    )
+    """Report of one signal as a table of what was decided, and the news it was decided on."""
+    rows = {
+        "model": decision, "leaning": leaning, "zone": zone, "probability": percent(probability), "drivers": drivers,
+        "second opinion": F.when(consulted, F.lit("asked")).otherwise(F.lit("not asked")), "verdict": final,
+    }
+    lines = [F.concat(F.lit(f"| {name} | "), value, F.lit(" |\n")) for name, value in rows.items()]
+    head = F.concat(ticker, F.lit(" on "), day.cast("string"), F.lit("\n\n| step | outcome |\n| --- | --- |\n"))
+    return F.concat(head, *lines, F.lit("\nNews:\n"), context, F.lit("\n"))
 
 
 def alert_message(ticker: Column, condition: Column, target: Column, price: Column) -> Column:
-    return F.concat(
-        F.lit("*MARKET ALERT*\n\nAsset: *"), ticker, F.lit("*\nCondition Met: `"), condition, F.lit(" "),
-        target.cast("string"), F.lit("`\nCurrent Price: *"), price.cast("string"), F.lit(" USD*"),
-    )
+    return F.concat(ticker, F.lit(" is now "), price.cast("string"), F.lit(" USD ("), condition, F.lit(" "), target.cast("string"), F.lit(")"))

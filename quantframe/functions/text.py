@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,9 +97,14 @@ def vector_id(chunk: Column, position: Column, published_at: Column) -> Column:
     return F.md5(F.concat_ws("_", chunk, position.cast("string"), float_text(published_at)))
 
 
+def all_tokens(text: Column) -> Column:
+    """Lower-cased word tokens in order."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
 def tokens(text: Column) -> Column:
     """Distinct lower-cased word tokens."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    return F.array_distinct(all_tokens(text))
 
 
 def pair_score(query: Column, text: Column) -> Column:
@@ -111,16 +116,6 @@ def pair_score(query: Column, text: Column) -> Column:
     )
 
 
-def matched_tickers(text: Column, mapping: Mapping[str, str]) -> Column:
-    """Assets one of whose search terms occurs in the text as a whole word, in mapping order."""
-    found = []
-    for ticker, expression in mapping.items():
-        terms = "|".join(rf"\Q{term}\E" for term in expression.split(" OR "))
-        pattern = rf"(?i)(^|[^\p{{L}}\p{{N}}_])({terms})([^\p{{L}}\p{{N}}_]|$)"
-        found.append(F.when(F.rlike(text, F.lit(pattern)), F.lit(ticker)))
-    return F.filter(F.array(*found), lambda t: t.isNotNull())
-
-
 def fixed_chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Consecutive pieces of ``size`` characters, each repeating the last ``overlap`` of the one before."""
     step = size - overlap

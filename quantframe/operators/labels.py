@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantframe.functions.signals import label
-from quantframe.operators.quantiles import exact_quantiles
+from quantframe.operators.quantiles import exact_quantiles, piece_quantiles
 from quantframe.operators.timeline import dense_dates
+from quantframe.session import staged
 
 # Default label quantiles and fold sizes.
 Q_HIGH, Q_LOW = 0.66, 0.33
@@ -82,6 +83,47 @@ def dense_folds(assigned: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFra
     return counts.filter((F.col("n_train") >= MIN_TRAIN) & (F.col("n_test") >= MIN_TEST))
 
 
+def _folds_between(i: Column, first: int, days: int, step_days: int, folds: Column) -> Column:
+    """Numbers of the folds whose ``days`` dates from ``first`` dates after their start on hold date index ``i``."""
+    lowest = F.greatest(F.ceil((i - F.lit(first + days - 1)) / F.lit(step_days)), F.lit(0)).cast("long")
+    highest = F.least(F.floor((i - F.lit(first)) / F.lit(step_days)), folds - 1).cast("long")
+    return F.when(lowest <= highest, F.sequence(lowest, highest)).otherwise(F.array().cast("array<bigint>"))
+
+
+def fold_thresholds(
+    df: DataFrame, train_days: int, step_days: int, embargo_days: int = 5, q_high: float = Q_HIGH, q_low: float = Q_LOW,
+    value: str = "fwd_log_return", date: str = "date",
+) -> DataFrame:
+    """``fold, high, low``: label limits of every fold that ``dense_folds`` would keep, without a row per fold.
+
+    A step of ``step_days`` dates is cut once, where the training span of an earlier fold ends inside it.  Each such piece
+    has one sketch, and a fold's training span is a run of whole pieces; sizes come from counts per date.  ``df`` is
+    read several times: stage it when it is costly.
+    """
+    days = staged(dense_dates(df, date).withColumnRenamed("date_idx", "_i"))
+    total = days.count()
+    folds = max(-(-(total - train_days - embargo_days) // step_days), 0)
+    rest = train_days % step_days
+    i = F.col("_i")
+    step, part = F.floor(i / F.lit(step_days)).cast("long"), (F.pmod(i, F.lit(step_days)) >= rest).cast("int")
+    per_day = df.groupBy(date).agg(F.count(F.lit(1)).alias("_n")).join(days, date)
+
+    def sizes(first: int, length: int, name: str) -> DataFrame:
+        held = per_day.select("_n", F.explode(_folds_between(i, first, length, step_days, F.lit(folds))).alias("fold"))
+        return held.groupBy("fold").agg(F.sum("_n").alias(name))
+
+    train, test = sizes(0, train_days, "n_train"), sizes(train_days + embargo_days, step_days, "n_test")
+    dense = train.join(test, "fold").filter((F.col("n_train") >= MIN_TRAIN) & (F.col("n_test") >= MIN_TEST)).select("fold")
+    # the pieces of a fold: both parts of its whole steps and the first part of the step after them
+    whole = train_days // step_days
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * whole - (rest == 0)).cast("long")))
+    members = dense.withColumn("_at", at).select(
+        "fold", (F.col("fold") + F.floor(F.col("_at") / 2)).cast("long").alias("_step"), F.pmod("_at", F.lit(2)).cast("int").alias("_part")
+    )
+    pieces = staged(df.join(days, date).select(step.alias("_step"), part.alias("_part"), F.col(value).alias("_value")))
+    return piece_quantiles(pieces, ["_step", "_part"], members, ["fold"], "_value", {"high": q_high, "low": q_low})
+
+
 def density_report(df: DataFrame, date: str = "date") -> DataFrame:
     """Row and date counts of a training set against the minimum sizes."""
     sizes = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(date).alias("n_dates"))

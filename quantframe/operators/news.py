@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +115,45 @@ def news_context(signals: DataFrame, matches: DataFrame, day_epoch: float) -> Da
     )
 
 
+#: A dictionary of phrases travels to the texts up to this size.
+DICTIONARY_ROWS, DICTIONARY_BYTES = 1 << 20, 8 << 20
+WORD, GAP = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]"
+
+
+def phrase_table(spark: SparkSession, mapping: Mapping[str, str]) -> DataFrame:
+    """``ticker, place, phrase, words``: the alternatives of each search expression, in mapping order."""
+    rows = [(t, i, p.lower()) for i, (t, expression) in enumerate(mapping.items()) for p in expression.split(" OR ")]
+    frame = spark.createDataFrame(rows, "ticker string, place int, phrase string")
+    return frame.withColumn("words", F.regexp_count("phrase", F.lit(WORD)))
+
+
+def match_phrases(documents: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, tickers``: the tickers of the phrases that occur in the text as whole words, in the order of ``place``.
+
+    ``phrases`` as ``phrase_table`` gives them, each beginning and ending with a word.  A text is cut into words with
+    the gaps behind them; runs of as many words as phrases have, exactly as they stand in the text but for
+    case, meet the phrases by equality, so the cost does not grow with the number of phrases.  A dictionary that is
+    counted to be small travels; a larger one is joined by the phrase.  Every row of ``documents`` stays; ``key`` is unique.
+    """
+    lengths = sorted(r[0] for r in phrases.select("words").distinct().collect())  # a few numbers
+    rows, size = phrases.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}{GAP}*"), F.lit(0))
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        run = lambda i: F.array_join(F.slice("_w", i, n), "")
+        return F.transform(starts, lambda i: F.regexp_replace(run(i), F.lit(f"{GAP}+$"), F.lit("")))
+
+    grams = F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths]))) if lengths else F.array().cast("array<string>")
+    spread = documents.select(key, pieces.alias("_w")).select(key, F.explode(grams).alias("phrase"))
+    small = rows <= DICTIONARY_ROWS and size <= DICTIONARY_BYTES
+    met = spread.join(F.broadcast(phrases) if small else phrases, "phrase")
+    found = met.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("place", "ticker"))).alias("_f"))
+    found = found.select(key, F.transform("_f", lambda f: f["ticker"]).alias("tickers"))
+    none = F.array().cast("array<string>")
+    return documents.select(key).join(found, key, "left").withColumn("tickers", F.coalesce("tickers", none))
+
+
 def default_sentiment(label: Column, score: Column) -> dict[str, Column]:
     """Upper-cased label and score; a failed scorer leaves UNKNOWN and 0."""
     return {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.operators.timeline import date_bucket, dense_dates, running
@@ -28,11 +28,25 @@ def portfolio_daily(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def equity_curve(daily: DataFrame, keys: Sequence[str] = (), value: str = "strategy_return") -> DataFrame:
-    """Cumulative value, its running maximum and the drawdown, per date."""
-    summed = running(staged(daily), keys, ["date"], date_bucket("date"), sums={"_cum": F.col(value)})
-    valued = summed.withColumn("equity", F.exp("_cum")).drop("_cum")
-    peaked = running(valued, keys, ["date"], date_bucket("date"), maxes={"running_max": F.col("equity")})
-    return peaked.withColumn("drawdown", F.try_divide(F.col("equity") - F.col("running_max"), F.col("running_max")))
+    """Cumulative value, its running maximum and the drawdown, per date.
+
+    A bucket of dates is summed up by its total and its highest prefix.  Both carry over to the later buckets at once, so
+    one window inside the buckets and one join with the small carries give sums and maxima together.
+    """
+    keys, zero = list(keys), F.lit(0.0)
+    inside = Window.partitionBy(*keys, "_bk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    local = daily.withColumn("_bk", date_bucket("date"))
+    local = local.withColumn("_sum", F.coalesce(F.sum(value).over(inside), zero)).withColumn("_top", F.max("_sum").over(inside))
+    local = staged(local)
+    before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy(*keys, "_bk").agg(F.max_by("_sum", "date").alias("_s"), F.max("_top").alias("_t"))
+    carry = totals.withColumn("_carry", F.coalesce(F.sum("_s").over(before), zero))
+    carry = carry.withColumn("_high", F.max(F.col("_carry") + F.col("_t")).over(before)).select(*keys, "_bk", "_carry", "_high")
+    valued = local.join(carry, [*keys, "_bk"]).withColumns(
+        {"equity": F.exp(F.col("_carry") + F.col("_sum")), "running_max": F.exp(F.greatest("_high", F.col("_carry") + F.col("_top")))}
+    )
+    valued = valued.drop("_bk", "_sum", "_top", "_carry", "_high")
+    return valued.withColumn("drawdown", F.try_divide(F.col("equity") - F.col("running_max"), F.col("running_max")))
 
 
 def sharpe(mean: Column, std_pop: Column, risk_free: float = 0.0) -> Column:

@@ -4,7 +4,8 @@ Three plans, chosen by checked sizes:
 
 * few queries: the query matrix travels to every corpus partition,
 * few corpus rows (prototypes, a small cache): the corpus matrix travels to the query partitions,
-* both large: hash blocks of both sides meet pairwise in bounded cogroups.
+* both large: the corpus is grouped around pivots, and a query meets only the groups that the triangle inequality
+  cannot rule out, in bounded cogroups.
 
 Each task keeps its best ``k`` rows per query, so what is shuffled is ``k`` rows per query and
 task, never the score matrix.  Scores are rounded before ranking and ties go to the smaller id,
@@ -41,14 +42,21 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Top ``k`` by (score desc, id asc)."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= floor
-        ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, id, score)`` of the top ``k`` of each row of scores by (score desc, id asc), rows in order."""
+    if scores.shape[1] > k:
+        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, column = np.nonzero(scores >= floor[:, None])
+    else:
+        row, column = np.nonzero(np.ones(scores.shape, bool))
+    return _first_of_rows(row, ids[column], scores[row, column], k)
+
+
+def _first_of_rows(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], ids[place < k], scores[place < k]
 
 
 def _score(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
@@ -76,24 +84,18 @@ def _by_packed_queries(queries: DataFrame, corpus: DataFrame, k: int) -> DataFra
     schema = _schema(queries, corpus)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             spaces = batch.column("namespace").to_numpy(zero_copy_only=False)
             ids, vectors = batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch.column("embedding"))
             for ns in set(spaces) & set(packed):
                 rows = spaces == ns
-                scores = _score(packed[ns][1], vectors[rows])
-                for q in range(len(scores)):
-                    found = _best(ids[rows], scores[q], k)
-                    held = best.get((ns, q))
-                    if held is not None:
-                        found = _best(*(np.concatenate(pair) for pair in zip(held, found)), k)
-                    best[ns, q] = found
-        for (ns, q), (ids, scores) in best.items():
-            n = len(ids)
-            yield pa.RecordBatch.from_pydict(
-                {"query_id": [packed[ns][0][q]] * n, "namespace": [ns] * n, "id": ids, "score": scores}
-            )
+                found = _best(ids[rows], _score(packed[ns][1], vectors[rows]), k)
+                if ns in held:
+                    found = _first_of_rows(*(np.concatenate(pair) for pair in zip(held[ns], found)), k)
+                held[ns] = found
+        for ns, (row, ids, scores) in held.items():
+            yield pa.RecordBatch.from_pydict({"query_id": packed[ns][0][row], "namespace": [ns] * len(row), "id": ids, "score": scores})
 
     return _rank(corpus.select("namespace", "id", "embedding").mapInArrow(scan, schema), k)
 
@@ -109,60 +111,140 @@ def _by_packed_corpus(queries: DataFrame, corpus: DataFrame, k: int) -> DataFram
             for ns in set(spaces) & set(packed):
                 rows = spaces == ns
                 ids, matrix = packed[ns]
-                found = [_best(ids, row, k) for row in _score(vectors[rows], matrix)]
-                n = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": np.repeat(names[rows], n),
-                        "namespace": [ns] * sum(n),
-                        "id": np.concatenate([f[0] for f in found]),
-                        "score": np.concatenate([f[1] for f in found]),
-                    }
-                )
+                row, found, scores = _best(ids, _score(vectors[rows], matrix), k)
+                yield pa.RecordBatch.from_pydict({"query_id": names[rows][row], "namespace": [ns] * len(row), "id": found, "score": scores})
 
     # every query meets the whole corpus in one place, so its rows are already its top k
     return _rank(queries.select("namespace", "query_id", "vector").mapInArrow(scan, schema), k)
 
 
-def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    schema = _schema(queries, corpus)
+#: Groups of the corpus around pivots; a larger corpus has larger groups, cut into blocks.
+PIVOTS = 4096
+#: By so much a group's best possible score may fall short of a found one and still be visited: rounding.
+CLOSE = 1e-8
 
-    def pieces(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("namespace").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
-    blocks = pieces(queries, BLOCK_QUERIES, "_nq").join(pieces(corpus, BLOCK_CORPUS, "_nc"), "namespace")
-    left = (
-        queries.select("namespace", "query_id", "vector")
-        .join(blocks, "namespace")
-        .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"))
-        .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
-        .drop("_nq", "_nc")
-    )
-    right = (
-        corpus.select("namespace", "id", "embedding")
-        .join(blocks, "namespace")
-        .withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_nc")).cast("int"))
-        .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
-        .drop("_nq", "_nc")
-    )
+class _Pivots:
+    """Pivots of each namespace; each has the smallest and largest distance of its group's rows and their number."""
+
+    def __init__(self, vectors: dict[str, np.ndarray]):
+        self.vectors = {ns: _unit(v) for ns, v in vectors.items()}
+        self.near: dict[str, np.ndarray] = {}
+        self.far: dict[str, np.ndarray] = {}
+        self.rows: dict[str, np.ndarray] = {}
+
+    def distances(self, ns: str, unit: np.ndarray) -> np.ndarray:
+        """Chord lengths on the unit sphere, a metric; the null vector counts as orthogonal to all."""
+        return np.sqrt(np.maximum(2 - 2 * (unit @ self.vectors[ns].T), 0))
+
+    def measured(self, groups: list) -> None:
+        for ns, vectors in self.vectors.items():
+            n = len(vectors)
+            self.near[ns], self.far[ns], self.rows[ns] = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
+        for g in groups:
+            self.near[g.namespace][g.pivot], self.far[g.namespace][g.pivot], self.rows[g.namespace][g.pivot] = g.near, g.far, g.rows
+
+    def best_scores(self, ns: str, unit: np.ndarray) -> np.ndarray:
+        """Highest cosine that a row of each group can have with each query, by the triangle inequality."""
+        d = self.distances(ns, unit)
+        least = np.maximum(np.maximum(d - self.far[ns], self.near[ns] - d), 0)
+        best = 1 - least**2 / 2
+        best[~unit.any(axis=1)] = 0  # a null query scores 0 everywhere
+        best[:, self.rows[ns] == 0] = -np.inf
+        return best
+
+
+def _assigned(corpus: DataFrame, pivots: _Pivots) -> DataFrame:
+    """Corpus rows with their nearest pivot and the distance to it; null vectors reach from 0 to 2, so all visit them."""
+    schema = f"namespace string, id {corpus.schema['id'].dataType.simpleString()}, embedding array<float>, pivot int, near double, far double"
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spaces = batch.column("namespace").to_numpy(zero_copy_only=False)
+            pivot, near, far = np.zeros(len(spaces), np.int32), np.zeros(len(spaces)), np.full(len(spaces), 2.0)
+            units = _unit(_matrix(batch.column("embedding")))
+            for ns in set(spaces):
+                rows = np.flatnonzero(spaces == ns)
+                d = pivots.distances(ns, units[rows])
+                pivot[rows] = d.argmin(axis=1)
+                least, real = d.min(axis=1), units[rows].any(axis=1)
+                near[rows], far[rows] = np.where(real, least, 0.0), np.where(real, least, 2.0)
+            columns = {"namespace": batch.column("namespace"), "id": batch.column("id"), "embedding": batch.column("embedding").cast(pa.list_(pa.float32()))}
+            yield pa.record_batch({**columns, "pivot": pivot, "near": near, "far": far})
 
-    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "namespace": [], "id": [], "score": []})
-        scores = _score(np.stack(q["vector"].to_numpy()), np.stack(c["embedding"].to_numpy()).astype("float64"))
-        found = [_best(c["id"].to_numpy(), row, k) for row in scores]
-        n = [len(f[0]) for f in found]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(q["query_id"].to_numpy(), n),
-                "namespace": q["namespace"].iloc[0],
-                "id": np.concatenate([f[0] for f in found]),
-                "score": np.concatenate([f[1] for f in found]),
-            }
+    return corpus.select("namespace", "id", "embedding").mapInArrow(assign, schema)
+
+
+def _visits(queries: DataFrame, pivots: _Pivots, first: bool) -> DataFrame:
+    """``query_id, namespace, vector, pivot``: the most promising group of each query, or all others that may still matter.
+
+    The others need ``kth``, the query's k-th score so far (null with fewer rows).
+    """
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spaces = batch.column("namespace").to_numpy(zero_copy_only=False)
+            units = _unit(_matrix(batch.column("vector")))
+            for ns in set(spaces) & set(pivots.vectors):
+                rows = np.flatnonzero(spaces == ns)
+                best = pivots.best_scores(ns, units[rows])
+                nearest = np.zeros(best.shape, bool)
+                nearest[np.arange(len(rows)), best.argmax(axis=1)] = True
+                if first:
+                    chosen = nearest
+                else:
+                    kth = batch.column("kth").to_numpy(zero_copy_only=False).astype(float)[rows]
+                    chosen = ~nearest & (best >= np.where(np.isnan(kth), -2.0, kth - CLOSE)[:, None])
+                row, pivot = np.nonzero(chosen)
+                taken = pa.array(rows[row])
+                yield pa.record_batch(
+                    {"query_id": batch.column("query_id").take(taken), "namespace": batch.column("namespace").take(taken), "vector": batch.column("vector").take(taken), "pivot": pa.array(pivot, pa.int32())}
+                )
+
+    vector = queries.schema["vector"].dataType.simpleString()
+    return queries.mapInArrow(visit, f"query_id {kind}, namespace string, vector {vector}, pivot int")
+
+
+def _by_pivots(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    schema = _schema(queries, corpus)
+    queries = queries.select("query_id", "namespace", "vector").where(F.col("vector").isNotNull())
+    sizes = corpus.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.ceil(F.col("n") / F.lit(BLOCK_CORPUS)), F.lit(PIVOTS))
+    # pivots are the rows with the smallest hashes, at most PIVOTS a namespace
+    drawn = Window.partitionBy("namespace").orderBy(F.xxhash64("id"), "id")
+    picked = corpus.select("namespace", "id", "embedding").withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= PIVOTS)
+    picked = picked.join(sizes, "namespace").where(F.col("_r") <= share)
+    pivots = _Pivots({ns: rows[1] for ns, rows in _group_rows(picked.select("namespace", "id", "embedding").toPandas()).items()})
+    held = staged(_assigned(corpus, pivots))
+    groups = held.groupBy("namespace", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.count(F.lit(1)).alias("rows"))
+    pivots.measured(groups.collect())  # one row a pivot
+    blocks = groups.select("namespace", "pivot", F.ceil(F.col("rows") / F.lit(BLOCK_CORPUS)).cast("int").alias("_nc"))
+
+    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
+        scores = _score(_matrix(q.column("vector")), _matrix(c.column("embedding"))) if len(q) and len(c) else np.empty((0, 0))
+        row, ids, scores = _best(c.column("id").to_numpy(), scores, k)
+        names = q.column("query_id").take(pa.array(row))
+        space = (q if len(q) else c).column("namespace")[0]
+        return pa.table({"query_id": names, "namespace": pa.array([space.as_py()] * len(row), pa.string()), "id": ids, "score": scores})
+
+    def search(visits: DataFrame) -> DataFrame:
+        visits = staged(visits)
+        asked = visits.groupBy("namespace", "pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_QUERIES)).cast("int").alias("_nq"))
+        both = staged(asked.join(blocks, ["namespace", "pivot"]))
+        left = visits.join(both, ["namespace", "pivot"]).withColumns(
+            {"_q": F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"), "_c": F.explode(F.sequence(F.lit(0), F.col("_nc") - 1))}
+        )
+        right = held.drop("near", "far").join(both, ["namespace", "pivot"]).withColumns(
+            {"_c": F.pmod(F.xxhash64("id"), F.col("_nc")).cast("int"), "_q": F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))}
         )
+        keys = ["namespace", "pivot", "_q", "_c"]
+        return left.drop("_nq", "_nc").groupBy(*keys).cogroup(right.drop("_nq", "_nc").groupBy(*keys)).applyInArrow(meet, schema)
 
-    keys = ["namespace", "_q", "_c"]
-    return _rank(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema), k)
+    nearest = staged(_rank(search(_visits(queries, pivots, True)), k).drop("rank"))
+    floor = nearest.groupBy("query_id", "namespace").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+    others = _visits(queries.join(floor, ["query_id", "namespace"], "left").select("query_id", "namespace", "vector", "kth"), pivots, False)
+    return _rank(nearest.unionByName(search(others)), k)
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
@@ -177,8 +259,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, plan: str | None = None)
     """
     corpus = corpus.filter(F.col("embedding").isNotNull())
     if plan is None:
-        plan = "queries" if _small(queries) else "corpus" if _small(corpus) else "blocks"
-    return {"queries": _by_packed_queries, "corpus": _by_packed_corpus, "blocks": _by_blocks}[plan](queries, corpus, k)
+        plan = "queries" if _small(queries) else "corpus" if _small(corpus) else "pivots"
+    return {"queries": _by_packed_queries, "corpus": _by_packed_corpus, "pivots": _by_pivots}[plan](queries, corpus, k)
 
 
 DAY = 86400
@@ -210,7 +292,7 @@ def latest_feed(query: DataFrame, corpus: DataFrame, limit: int = 10) -> DataFra
     return feed.orderBy(F.col("published_at").desc(), F.col("id").asc())
 
 
-NO_CONTEXT = "No recent news found in the local database."
+NO_CONTEXT = "(no matching news)"
 GLOBAL_NAMESPACE = "fin_news_v1"
 SOURCE_TOP, CONTEXT_TOP = 10, 4
 

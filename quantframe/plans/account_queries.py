@@ -71,8 +71,7 @@ def alert_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "alert_message",
-    f"WITH {_MATCH} SELECT alert_id, '*MARKET ALERT*' || chr(10) || chr(10) || 'Asset: *' || ticker || '*' || chr(10) || 'Condition Met: `' || condition || ' '"
-    " || target_price::VARCHAR || '`' || chr(10) || 'Current Price: *' || price::VARCHAR || ' USD*' AS message FROM met",
+    f"WITH {_MATCH} SELECT alert_id, ticker || ' is now ' || price::VARCHAR || ' USD (' || condition || ' ' || target_price::VARCHAR || ')' AS message FROM met",
 )
 def alert_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir).select("alert_id", "message")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from quantframe.operators.timeline import dense_dates
 from quantframe.plans.oracle_views import BEAR, BULL, BUY_AT, DAILY, OUTCOMES, SELL_AT, SIGNALS
 from quantframe.plans.panel_queries import round_all
 from quantframe.plans.registry import query
-from quantframe.session import staged
+from quantframe.session import shared_dir, staged
+from quantframe.sources import files
 
 SHARPE_SQL = "sqrt(252.0::DOUBLE) * avg(strategy_return) / (stddev_pop(strategy_return) + 1e-8)"
 
@@ -301,11 +304,9 @@ def fold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM assigned SEMI JOIN big USING (fold) WHERE role = 'train' GROUP BY fold",
 )
 def fold_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label thresholds of every usable fold in one aggregate."""
-    known = staged(fixtures.signals(spark, sf_dir).filter(F.col("fwd_log_return").isNotNull()))
-    assigned = staged(lb.fold_assign(known.select("date", "fwd_log_return"), **FOLD))
-    usable = assigned.filter(F.col("role") == "train").join(lb.dense_folds(assigned).select("fold"), "fold")
-    return round_all(lb.quantile_thresholds(usable, ["fold"]), ["high", "low"], 9)
+    """Label thresholds of every usable fold, from one sketch per piece of a date step."""
+    known = staged(fixtures.signals(spark, sf_dir).filter(F.col("fwd_log_return").isNotNull()).select("date", "fwd_log_return"))
+    return round_all(lb.fold_thresholds(known, **FOLD), ["high", "low"], 9)
 
 
 @query(
@@ -361,11 +362,14 @@ def conviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT 'walk_forward' AS run, key, round(value, 6) AS value FROM long",
 )
 def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = fixtures.outcomes(spark, sf_dir)
+    results = staged(fixtures.outcomes(spark, sf_dir))
     run = "walk_forward"
     rows = (
         cl.metrics_table(run, pf.portfolio_metrics(results), "FIN_")
         .unionByName(cl.metrics_table(run, cl.accuracy(results, name="Accuracy_Global"), "ML_"))
         .unionByName(cl.keyed_metrics(run, cl.accuracy(results, ["ticker"]), "ticker", "accuracy", "LOO_acc_"))
     )
-    return round_all(rows, ["value"])
+    rows, path = staged(rows), f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    for _ in range(2):  # a run that is logged again replaces its own rows
+        files.append_metrics(rows, path)
+    return round_all(files.read_metrics(spark, path), ["value"])

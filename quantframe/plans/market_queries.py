@@ -379,23 +379,25 @@ def verdict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AUDIT_SQL = (
-    "'# Neurosymbolic Audit Trail - ' || ticker || ' (' || date || ')' || chr(10) || chr(10) || '## 1. Quant Engine Output'"
-    " || chr(10) || '* **Base Decision:** ' || ml_decision || chr(10) || '* **Leaning Action:** ' || leaning_action"
-    " || chr(10) || '* **Conviction Zone:** ' || conviction_zone || chr(10) || '* **Probability:** ' || printf('%.2f', probability * 100)"
-    " || '%' || chr(10) || '* **Top SHAP Drivers:** volume, range' || chr(10) || chr(10) || '## 2. LLM Portfolio Manager Output' || chr(10)"
-    " || '* **Final Verdict Executed:** **' || verdict || '**' || chr(10) || '* *(Did the LLM evaluate this? '"
-    " || CASE WHEN consulted THEN 'Yes' ELSE 'No, bypassed due to strict execution rules' END || ')*' || chr(10) || chr(10)"
-    " || '## 3. NLP Context Provided (FinBERT)' || chr(10) || 'No recent macroeconomic news found for this asset.' || chr(10)"
+    "ticker || ' on ' || date || chr(10) || chr(10) || '| step | outcome |' || chr(10) || '| --- | --- |' || chr(10)"
+    " || '| model | ' || ml_decision || ' |' || chr(10) || '| leaning | ' || leaning_action || ' |' || chr(10)"
+    " || '| zone | ' || conviction_zone || ' |' || chr(10) || '| probability | ' || printf('%.2f', probability * 100) || '% |' || chr(10)"
+    " || '| drivers | volume, range |' || chr(10) || '| second opinion | ' || CASE WHEN consulted THEN 'asked' ELSE 'not asked' END || ' |' || chr(10)"
+    f" || '| verdict | ' || verdict || ' |' || chr(10) || chr(10) || 'News:' || chr(10) || '{rp.NO_NEWS}' || chr(10)"
 )
 
 
 @query("audit_markdown", f"WITH {_VERDICT_SQL} SELECT ticker, date, {_AUDIT_SQL} AS report FROM verdicts")
 def audit_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports written by ticker and year, twice as a repeated run would, and read back."""
     report = rp.audit_markdown(
         F.col("ticker"), F.col("date"), F.col("ml_decision"), F.col("leaning_action"), F.col("conviction_zone"),
         F.col("probability"), F.lit("volume, range"), F.col("verdict"), F.col("consulted"), F.lit(rp.NO_NEWS),
     )
-    return _verdicts(spark, sf_dir).select("ticker", "date", report.alias("report"))
+    reports, path = staged(_verdicts(spark, sf_dir).select("ticker", "date", report.alias("report"))), _path(spark, "reports")
+    for _ in range(2):
+        files.write_reports(reports, path, "yyyy")
+    return files.read_reports(spark, path)
 
 
 @query(

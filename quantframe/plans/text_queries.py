@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from quantframe.functions import reports as rp
 from quantframe.functions import text as tx
 from quantframe.functions.vectors import cosine
 from quantframe.operators import news as nw
+from quantframe.operators import relevance as rl
 from quantframe.operators import retrieval as rt
 from quantframe.operators import tables as tb
 from quantframe.plans.oracle_views import TICKER_SQL
@@ -83,24 +85,35 @@ def validate_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nw.validate_news(fixtures.messages(spark, sf_dir)).select("doc_id", "reason", "text")
 
 
-# words of the given texts stand in for company names
-WORD_MAPPING = {"SPY": "the OR and", "QQQ": "elle OR que", "DIA": "der OR sch", "GLD": "than OR there", "TLT": "nicht OR une"}
+# words of the given texts next to the followed assets, so that matches of either kind occur
+WORD_MAPPING = {"WORDS-1": "the OR and", "WORDS-2": "elle OR que", "WORDS-3": "der OR sch", "WORDS-4": "than OR there", "WORDS-5": "nicht OR une"}
+MAPPING = {**tx.TICKER_QUERIES, **WORD_MAPPING}
+#: Every term of the mapping once, and forms that must not match; one follows each text.
+MENTIONS = [term for expression in tx.TICKER_QUERIES.values() for term in expression.split(" OR ")]
+MENTIONS += ["xAPPLE", "S&P  500", "golden", "META_1", "alphabet!", "(btc)", "russell 2000", "Dow Jones-"]
 
 
 def _mapping_sql() -> str:
     cases = []
-    for ticker, expression in WORD_MAPPING.items():
+    for ticker, expression in MAPPING.items():
         terms = "|".join(expression.split(" OR "))
         cases.append(
             f"CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({terms})([^\\p{{L}}\\p{{N}}_]|$)') THEN '{ticker}' END"
         )
-    return f"SELECT doc_id, concat_ws(',', {', '.join(cases)}) AS tickers FROM documents"
+    mentions = "[" + ", ".join(f"'{m}'" for m in MENTIONS) + "]"
+    news = f"SELECT doc_id, text || ' ' || {mentions}[(doc_id % {len(MENTIONS)} + 1)::INTEGER] AS text FROM documents"
+    return f"WITH n AS ({news}) SELECT doc_id, concat_ws(',', {', '.join(cases)}) AS tickers FROM n"
+
+
+def _mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mention = F.element_at(F.array(*[F.lit(m) for m in MENTIONS]), (F.pmod("doc_id", F.lit(len(MENTIONS))) + 1).cast("int"))
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), mention).alias("text"))
 
 
 @query("class_mapping", _mapping_sql())
 def class_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tx.matched_tickers(F.col("text"), WORD_MAPPING)
-    return fixtures.table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("tickers"))
+    found = nw.match_phrases(_mentioning(spark, sf_dir), nw.phrase_table(spark, MAPPING))
+    return found.select("doc_id", F.array_join("tickers", ",").alias("tickers"))
 
 
 @query("transactional_flag", "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{w}')" for w in tx.TRANSACTIONAL_KEYWORDS) + " AS bypass FROM conversations")
@@ -150,7 +163,7 @@ def age_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.select("doc_id", rp.age_label(F.lit(LOGICAL_DAY) - F.col("published_at")).alias("age"))
 
 
-_LINE_SQL = f"'- [AGE: ' || {_AGE_SQL} || '] ' || text || ' [FinBERT: ' || coalesce(sentiment, 'NEUTRAL') || ' (Score: ' || printf('%.2f', coalesce(sentiment_score, 0.0)) || ')]'"
+_LINE_SQL = f"'- ' || {_AGE_SQL} || ' | ' || text || ' | ' || coalesce(sentiment, 'NEUTRAL') || ' ' || printf('%.2f', coalesce(sentiment_score, 0.0))"
 
 
 @query("news_line", f"WITH {VECTORS} SELECT id, {_LINE_SQL} AS line FROM vecs")
@@ -175,6 +188,26 @@ def pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(items, "item_id").select("conv_id", "turn", F.round(score, 9).alias("score"))
 
 
+_TERMS_SQL = "list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query(
+    "bm25",
+    f"""WITH d AS (SELECT doc_id, {_TERMS_SQL.format(text="coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+p AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d), t AS (SELECT term, doc_id, length, count(*) AS tf FROM p GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS_SQL.format(text='text')})) AS term FROM benchmark),
+r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 9) AS score
+ FROM q JOIN t USING (term) JOIN f USING (term), s GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM r QUALIFY rank <= 10""",
+)
+def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item, over all documents."""
+    items = fixtures.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return rl.bm25(items, fixtures.table(spark, sf_dir, "documents").select("doc_id", "text"), 10)
+
+
 @query(
     "raw_archive",
     f"""WITH {NEWS}, keyed AS (SELECT *, md5(text) AS content_key, TIMESTAMP '1970-01-01' + to_seconds(published_at::BIGINT) AS seen FROM news)
@@ -198,10 +231,33 @@ _CUT = f"{LOGICAL_DAY}::DOUBLE - 5 * 86400"
     f"WITH {VECTORS} SELECT namespace, id, published_at FROM vecs WHERE published_at >= {_CUT}",
 )
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = tb.retention_prune(fixtures.vectors(spark, sf_dir), "published_at", F.lit(LOGICAL_DAY), days=5)
+    """Records lie by day, written twice; whole days before the cut go as folders, the day of the cut by its rows."""
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    stamp = tx.epoch_ntz(F.col("published_at"))
+    records = fixtures.vectors(spark, sf_dir).select("namespace", "id", "published_at", F.date_format(stamp, "yyyy-MM-dd").alias("day"))
+    for _ in range(2):
+        files.write_days(records, path)
+    first = dt.datetime.fromtimestamp(LOGICAL_DAY - 5 * tb.DAY_SECONDS, dt.UTC).strftime("%Y-%m-%d")
+    files.drop_days(spark, path, first)
+    kept = tb.retention_prune(spark.read.schema(records.schema).parquet(path), "published_at", F.lit(LOGICAL_DAY), days=5)
     return kept.select("namespace", "id", "published_at")
 
 
+@query(
+    "cache_prune",
+    f"WITH {NEWS} SELECT md5(text) AS id, max(published_at) AS timestamp FROM news GROUP BY md5(text) HAVING max(published_at) >= {LOGICAL_DAY}::DOUBLE - 300",
+)
+def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache entries lie by their day; expired days are dropped unread."""
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    newest = fixtures.news(spark, sf_dir).groupBy(F.md5("text").alias("id")).agg(F.max("published_at").alias("timestamp"))
+    entries = newest.select("id", "timestamp", F.date_format(tx.epoch_ntz(F.col("timestamp")), "yyyy-MM-dd").alias("day"))
+    for _ in range(2):
+        files.write_days(entries, path)
+    files.drop_days(spark, path, dt.datetime.fromtimestamp(LOGICAL_DAY - rt.CACHE_TTL, dt.UTC).strftime("%Y-%m-%d"))
+    return spark.read.schema(entries.schema).parquet(path).where(F.col("timestamp") >= LOGICAL_DAY - rt.CACHE_TTL).drop("day")
+
+
 @query(
     "vector_upsert",
     f"WITH {VECTORS} SELECT namespace, id, label + CASE WHEN label >= 5 THEN 100 ELSE 0 END AS label FROM vecs",
@@ -264,8 +320,8 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {QUERIES}, {_knn_sql(_WINDOW, 15)},
 hits AS (SELECT query_id, string_agg({_LINE_SQL}, chr(10) ORDER BY rank) AS lines FROM found WHERE contains(ticker_principal, ticker) GROUP BY query_id),
 sig AS (SELECT query_id, 'Q' || query_id AS signal, CASE query_id % 3 WHEN 0 THEN 'HOT' WHEN 1 THEN 'GREY' ELSE 'COLD' END AS conviction_zone FROM asks)
-SELECT signal, conviction_zone, CASE WHEN conviction_zone = 'COLD' THEN 'N/A (Skipped - COLD zone)'
-  ELSE coalesce(lines, 'No recent macroeconomic news found for this asset.') END AS news_context,
+SELECT signal, conviction_zone, CASE WHEN conviction_zone = 'COLD' THEN '{rp.COLD_NEWS}'
+  ELSE coalesce(lines, '{rp.NO_NEWS}') END AS news_context,
  conviction_zone <> 'COLD' AND lines IS NOT NULL AS has_news FROM sig LEFT JOIN hits USING (query_id)""",
 )
 def news_context(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantframe import schemas
+from quantframe.sources.merged import names, remove
 
 
 def write_panel(bars: DataFrame, path: str) -> None:
@@ -53,13 +54,46 @@ def archive_rows(news: DataFrame, ingested_at: Column, source: str = "api_ingest
     )
 
 
+#: Ends a text record; report texts hold line breaks.
+RECORD_END = "\x1e"
+DAY_PARTS = ["year", "month", "day"]
+
+
 def write_archive(rows: DataFrame, path: str) -> None:
-    """Append the texts that their day does not hold yet, so that a repeated run adds nothing."""
-    spark, keys = rows.sparkSession, ["year", "month", "day", "content_key"]
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        rows = rows.join(spark.read.schema(rows.schema).json(path).select(*keys), keys, "left_anti")
-    rows.write.mode("append").partitionBy("year", "month", "day").json(path)
+    """Append the texts that their day does not hold yet, so that a repeated run adds nothing.
+
+    Only the folders of the batch's days are read: their names are collected, at most one per calendar day.
+    """
+    spark = rows.sparkSession
+    if names(spark, path):
+        days = [tuple(r) for r in rows.select(*DAY_PARTS).distinct().collect()]
+        held = [f"{path}/year={y}/month={m}/day={d}" for y, m, d in days if names(spark, f"{path}/year={y}/month={m}/day={d}")]
+        if held:
+            lake = spark.read.schema(rows.schema).option("basePath", path).json(held).select(*DAY_PARTS, "content_key")
+            rows = rows.join(lake, [*DAY_PARTS, "content_key"], "left_anti")
+    rows.write.mode("append").partitionBy(*DAY_PARTS).json(path)
+
+
+def write_days(rows: DataFrame, path: str, day: str = "day") -> None:
+    """Write rows by day; the days of the batch are replaced, other days stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def drop_days(spark: SparkSession, path: str, first: str, day: str = "day") -> list[str]:
+    """Delete the day folders before ``first`` (as their names sort) without reading them; their names."""
+    old = [n for n in names(spark, path) if n.startswith(f"{day}=") and n.partition("=")[2] < first]
+    for name in old:
+        remove(spark, f"{path}/{name}")
+    return old
+
+
+def append_metrics(metrics: DataFrame, path: str) -> None:
+    """Add a run's (run, key, value) rows; writing a run again replaces its own rows only."""
+    write_days(metrics, path, "run")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("key string, value double, run string").parquet(path).select("run", "key", "value")
 
 
 def feature_snapshot(signals: DataFrame) -> DataFrame:
@@ -72,11 +106,23 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
     snapshot.write.mode("overwrite").csv(path, header=True)
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """Text files by ticker; the frame has ``ticker`` and ``report``."""
-    reports.select("ticker", F.col("report").alias("value")).write.mode("overwrite").partitionBy("ticker").text(
-        path, lineSep="\n\n"
-    )
+def write_reports(reports: DataFrame, path: str, span: str = "yyyy-MM-dd") -> None:
+    """Text files by ticker and span of dates (a day, or a longer one) from ``reports(ticker, date, report)``.
+
+    The folders of the batch are replaced.  A report starts with a line that holds its date and ends with a record separator,
+    so that several of a folder read back as they were.
+    """
+    value = F.concat(F.col("date").cast("string"), F.lit("\n"), F.col("report"))
+    spread = reports.select("ticker", F.date_format("date", span).alias("span"), value.alias("value"))
+    spread = spread.repartition("ticker", "span")
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker", "span").text(path, lineSep=RECORD_END)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """``ticker, date, report`` of written reports."""
+    rows = spark.read.schema("value string, ticker string, span string").text(path, lineSep=RECORD_END)
+    head = F.substring_index("value", "\n", 1)
+    return rows.select("ticker", head.cast("date").alias("date"), F.substring(F.col("value"), F.length(head) + 2, F.length("value")).alias("report"))
 
 
 def manifest_frame(spark: SparkSession, values: Mapping[str, object]) -> DataFrame:

@@ -39,12 +39,15 @@ def days(n: int) -> list[dt.date]:
 # --- quantiles, folds, portfolio -------------------------------------------------------------
 
 
-@pytest.mark.parametrize("accuracy", [qt.ACCURACY, 2000])
+@pytest.mark.parametrize("small", [qt.SMALL, 500])
 @pytest.mark.parametrize("keys", [["g"], []])
-def test_exact_quantiles_match_numpy(spark, monkeypatch, accuracy, keys):
-    """With the low accuracy one group is ranked inside brackets, the others by the built-in percentile."""
-    monkeypatch.setattr(qt, "ACCURACY", accuracy)
-    monkeypatch.setattr(qt, "SMALL", 2 * accuracy)
+def test_exact_quantiles_match_numpy(spark, monkeypatch, small, keys):
+    """With the lower limit the large groups are ranked inside narrowed brackets, the others by the built-in percentile."""
+    monkeypatch.setattr(qt, "SMALL", small)
+    monkeypatch.setattr(qt, "SKETCH", 64)
+    monkeypatch.setattr(qt, "SLACK", 0.02)
+    monkeypatch.setattr(qt, "RANKED", 16)
+    monkeypatch.setattr(qt, "RANGES", 8)
     rng = np.random.default_rng(5)
     groups = {"a": rng.normal(size=30000).round(3), "b": rng.integers(0, 4, 999).astype(float), "c": np.array([1.0, 2.0])}
     pdf = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in groups.items()])
@@ -346,7 +349,7 @@ def test_the_three_search_plans_agree_with_brute_force(spark, monkeypatch):
     monkeypatch.setattr(rt, "BLOCK_CORPUS", 32)
     qs = spark.createDataFrame(queries, "query_id long, namespace string, vector array<double>")
     cs = spark.createDataFrame(corpus, "namespace string, id long, embedding array<float>").repartition(5)
-    for plan in ("queries", "corpus", "blocks"):
+    for plan in ("queries", "corpus", "pivots"):
         got = {(r.query_id, r.namespace, r.id, r["rank"]) for r in rt.knn(qs, cs, 7, plan).collect()}
         assert got == want, plan
 
