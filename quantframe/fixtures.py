@@ -188,35 +188,33 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as vector records, their text and metadata taken from documents and labels."""
+    """Every document as a vector record: the embeddings take turns, metadata comes from documents and labels."""
     documents = news(spark, sf_dir).select("doc_id", "text", "url", "published_at")
     marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    total = documents.agg(F.count(F.lit(1))).scalar()
-    n = F.col("vec_id")
-    own = table(spark, sf_dir, "embeddings").select(
-        n.alias("id"), "embedding", "label", F.pmod(n, total).alias("doc_id"),
-        F.when(F.pmod(n, F.lit(5)) != 0, "fin_news_v1")
-        .otherwise(F.concat(F.lit("tenant_t"), F.pmod(n, F.lit(3)))).alias("namespace"),
-    )
-    return own.join(documents, "doc_id").join(marks, "doc_id", "left").select(
-        "namespace", "id", "embedding", "label", "text", F.lit("news_api").alias("source"), "url", "published_at",
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    total = given.agg(F.count(F.lit(1))).scalar()
+    n = F.col("doc_id")
+    space = F.when(F.pmod(n, F.lit(5)) != 0, "fin_news_v1").otherwise(F.concat(F.lit("tenant_t"), F.pmod(n, F.lit(3))))
+    own = documents.withColumn("vec_id", F.pmod(n, total)).join(given, "vec_id")
+    return own.join(marks, "doc_id", "left").select(
+        space.alias("namespace"), n.alias("id"), "embedding", "label", "text", F.lit("news_api").alias("source"), "url", "published_at",
         F.when(F.col("quality") == 1, "POSITIVE").when(F.col("quality") == 0, "NEGATIVE").alias("sentiment"),
         (F.col("quality") * 0.5 + 0.25).alias("sentiment_score"),
-        base_ticker(F.col("doc_id")).alias("ticker_principal"),
-        base_ticker(F.col("doc_id")).alias("tickers_relacionados"),
+        base_ticker(n).alias("ticker_principal"), base_ticker(n).alias("tickers_relacionados"),
     )
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per embedding label: its mean vector, a benchmark text, a tenant and a ticker."""
+    """One query per benchmark item: its text, the mean vector of a label in turn, a tenant and a ticker."""
     from quantframe.functions.vectors import centroids
 
     means = centroids(table(spark, sf_dir, "embeddings"), "label")
-    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("label"), F.col("text").alias("query_text"))
-    return means.join(texts, "label").select(
-        F.col("label").cast("long").alias("query_id"), "vector", "query_text",
-        F.concat(F.lit("t"), F.pmod("label", F.lit(3))).alias("tenant_id"),
-        base_ticker(F.col("label")).alias("ticker"),
+    total = table(spark, sf_dir, "embeddings").select("label").distinct().agg(F.count(F.lit(1))).scalar()
+    item = F.col("item_id")
+    texts = table(spark, sf_dir, "benchmark").select(item, F.col("text").alias("query_text"), F.pmod(item, total).cast("int").alias("label"))
+    return texts.join(means, "label").select(
+        item.cast("long").alias("query_id"), "vector", "query_text",
+        F.concat(F.lit("t"), F.pmod(item, F.lit(3))).alias("tenant_id"), base_ticker(item).alias("ticker"),
     )
 
 

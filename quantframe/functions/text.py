@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,11 +168,62 @@ def split_recursively(
     return out
 
 
-def recursive_chunks(text: Column) -> Column:
-    """``split_recursively`` over Arrow batches."""
+_PACKED = "struct<out:array<struct<text:string,done:boolean>>,held:array<string>,length:int>"
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursively(t) if t else [])
 
-    return split(text)
+def _packed(segment: Column, separator: str, size: int, overlap: int) -> Column:
+    """Cut a segment at a separator and join consecutive short pieces; pieces of ``size`` and more are left to cut."""
+    parts = F.transform(
+        F.split(segment, F.lit(rf"\Q{separator}\E"), F.lit(-1)), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(separator), x))
+    )
+    pieces = F.filter(parts, lambda x: x != "")
+    entry = lambda text, done: F.array(F.struct(text.alias("text"), F.lit(done).alias("done")))
+
+    def flushed(state: Column) -> Column:
+        return F.when(F.size(state["held"]) > 0, F.concat(state["out"], entry(F.array_join(state["held"], ""), True))).otherwise(state["out"])
+
+    def step(state: Column, piece: Column) -> Column:
+        n, held, length = F.length(piece), state["held"], state["length"]
+        full = (length + n > size) & (F.size(held) > 0)
+        # what the next chunk repeats: the held pieces but for so many in front that the rest is short enough
+        drop = F.struct(length.alias("rest"), F.lit(0).alias("drop"))
+        too_long = lambda d: (d["rest"] > overlap) | ((d["rest"] > 0) & (d["rest"] + n > size))
+        shorter = lambda d, x: F.when(too_long(d), F.struct((d["rest"] - F.length(x)).alias("rest"), (d["drop"] + 1).alias("drop"))).otherwise(d)
+        kept = F.aggregate(held, drop, shorter)
+        repeated = F.slice(held, kept["drop"] + 1, F.size(held))
+        state_of = lambda out, pieces, n: F.struct(out.alias("out"), pieces.alias("held"), n.cast("int").alias("length"))
+        none = F.array().cast("array<string>")
+        return (
+            F.when(n >= size, state_of(F.concat(flushed(state), entry(piece, False)), none, F.lit(0)))
+            .when(full, state_of(flushed(state), F.concat(repeated, F.array(piece)), kept["rest"] + n))
+            .otherwise(state_of(state["out"], F.concat(held, F.array(piece)), length + n))
+        )
+
+    empty = F.struct(F.array().cast("array<struct<text:string,done:boolean>>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("length"))
+    return F.aggregate(pieces, empty.cast(_PACKED), step, flushed)
+
+
+def recursive_chunks(
+    text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = SEPARATORS
+) -> Column:
+    """``split_recursively`` in built-in functions: one pass over the segments per separator.
+
+    A segment is a chunk (done) or too long.  At each separator the long ones that hold it are cut and packed; the last
+    separator is the empty one, whose pieces are characters, so windows of equal size remain.
+    """
+    def cut(separator: str):
+        def level(s: Column) -> Column:
+            if separator:
+                parts, long = _packed(s["text"], separator, size, overlap), ~s["done"] & F.contains(s["text"], F.lit(separator))
+            else:
+                windows = fixed_chunks(s["text"], size, overlap)
+                parts, long = F.transform(windows, lambda x: F.struct(x.alias("text"), F.lit(True).alias("done"))), ~s["done"]
+            return F.when(long, parts).otherwise(F.array(s))
+
+        return level
+
+    segments = F.array(F.struct(text.alias("text"), (F.length(text) < size).alias("done")))
+    for separator in separators:
+        segments = F.flatten(F.transform(segments, cut(separator)))
+    chunks = F.filter(F.transform(segments, lambda s: strip(s["text"])), lambda t: t != "")
+    return F.coalesce(chunks, F.array().cast("array<string>"))

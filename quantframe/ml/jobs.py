@@ -146,7 +146,7 @@ def heavy_retrain(
             "req_step_days": plan.step_days,
             "req_embargo_days": plan.embargo_days,
             "class_weight": {str(k): float(v) for k, v in plan.class_weight.items()},
-            "model_params": {k: float(v) for k, v in plan.model.items()},
+            "model_params": {k: float(v) for k, v in plan.model.items() if k != "kind"},
         }
         export_model(winner, export_to, details)
     return verdict.withColumn("features", F.lit(",".join(chosen)))
@@ -163,15 +163,10 @@ def score_signals(cross_section: DataFrame, champion: Champion) -> DataFrame:
     guarded = staged(ft.null_guard(cross_section, names))
     zones = sg.conviction(F.col("prob_buy"), F.col("prob_sell"), champion.buy_at, champion.sell_at)
     signals = models.score_probabilities(champion.model, guarded).withColumns(zones)
-    parts = [
-        models.occlusion(champion.model, guarded, ["ticker"], index).withColumn("_class", F.lit(action))
-        for index, action in ((models.BUY, "BUY"), (models.SELL, "SELL"))
-    ]
+    parts = models.occlusion(champion.model, guarded, ["ticker"], (models.BUY, models.SELL))
+    action = F.when(F.col("class_index") == models.BUY, "BUY").otherwise("SELL").alias("_class")
     ranked = F.sort_array(F.collect_list(F.struct((-F.abs("contribution")).alias("size"), "feature")))
-    drivers = (
-        parts[0].unionByName(parts[1]).groupBy("ticker", "_class")
-        .agg(F.transform(F.slice(ranked, 1, 3), lambda r: r["feature"]).alias("top_drivers"))
-    )
+    drivers = parts.groupBy("ticker", action).agg(F.transform(F.slice(ranked, 1, 3), lambda r: r["feature"]).alias("top_drivers"))
     explained = signals.join(
         drivers.withColumnsRenamed({"_class": "leaning_action"}), ["ticker", "leaning_action"], "left"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -25,8 +25,8 @@ def train_classifier(
 ) -> PipelineModel:
     """Fit on rows with -1/0/1 in ``target``.
 
-    ``kind`` is 'forest' (default) or 'logistic', whose attributions are exact.  The class index
-    is fixed, so a fold that misses a class still yields three probabilities.
+    ``kind`` is 'forest' (default), 'boosted' (gradient-boosted trees, one class against the rest) or 'logistic', whose
+    attributions are exact.  The class index is fixed, so a fold that misses a class still yields three probabilities.
     """
     weight = F.lit(1.0)
     for value, w in (class_weight or {}).items():
@@ -41,20 +41,36 @@ def train_classifier(
         learner = LogisticRegression(
             **common, **{"family": "multinomial", "regParam": 0.05, "maxIter": 20, "tol": 1e-4, **params}
         )
+    elif kind == "boosted":
+        trees = GBTClassifier(**{"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 1, **params})
+        learner = OneVsRest(classifier=trees, parallelism=len(CLASSES), **common)
     else:
-        raise ValueError("kind is 'forest' or 'logistic'")
+        raise ValueError("kind is 'forest', 'boosted' or 'logistic'")
     fitted = Pipeline(stages=[assemble, learner]).fit(index.transform(rows))
     return fitted
 
 
+def class_probabilities(scored: DataFrame) -> Column:
+    """Probability of each class, as an array, from the columns that a model adds.
+
+    Boosted margins against the rest become probabilities of their own, which are scaled to add up to one.
+    """
+    if "probability" in scored.columns:
+        return vector_to_array(F.col("probability"))
+    each = F.transform(vector_to_array(F.col("rawPrediction")), lambda margin: 1 / (1 + F.exp(-2 * margin)))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(each, lambda x: x / total)
+
+
 def score_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add prob_buy and prob_sell."""
-    p = vector_to_array(F.col("probability"))
-    return (
-        model.transform(df)
-        .withColumns({"prob_sell": p[SELL], "prob_buy": p[BUY]})
-        .drop("_features", "rawPrediction", "probability", "prediction")
-    )
+    scored = model.transform(df)
+    scored = scored.withColumn("_p", class_probabilities(scored))
+    return scored.withColumns({"prob_sell": F.col("_p")[SELL], "prob_buy": F.col("_p")[BUY]}).drop(*MODEL_COLUMNS)
+
+
+#: What a model adds beside its answer.
+MODEL_COLUMNS = ("_features", "rawPrediction", "probability", "prediction", "_p")
 
 
 def predicted_class(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -62,7 +78,7 @@ def predicted_class(model: PipelineModel, df: DataFrame) -> DataFrame:
     return (
         model.transform(df)
         .withColumn("y_pred", (F.col("prediction") - 1).cast("int"))
-        .drop("_features", "rawPrediction", "probability", "prediction")
+        .drop(*MODEL_COLUMNS)
     )
 
 
@@ -73,7 +89,9 @@ def feature_names(model: PipelineModel) -> list[str]:
 def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
     """(feature, importance), largest first, ties by name."""
     learner = model.stages[-1]
-    if hasattr(learner, "featureImportances"):
+    if isinstance(learner, OneVsRestModel):
+        values = sum(m.featureImportances.toArray() for m in learner.models) / len(learner.models)
+    elif hasattr(learner, "featureImportances"):
         values = learner.featureImportances.toArray()
     else:
         values = abs(learner.coefficientMatrix.toArray()).max(axis=0)
@@ -106,10 +124,11 @@ def top_drivers(contributions: Mapping[str, Column], n: int = 3) -> Column:
     return F.transform(F.slice(ranked, 1, n), lambda r: r["name"])
 
 
-def occlusion(model: PipelineModel, df: DataFrame, keys: Sequence[str], class_index: int = SELL) -> DataFrame:
-    """(keys, feature, contribution): drop in the class probability when a feature is set to its mean.
+def occlusion(model: PipelineModel, df: DataFrame, keys: Sequence[str], classes: Sequence[int] = (SELL,)) -> DataFrame:
+    """(keys, class_index, feature, contribution): drop in a class's probability when a feature is set to its mean.
 
-    The rows times features are scored in one pass over replaced feature vectors.
+    The rows and their replaced feature vectors are scored once for all ``classes``; each row's variants stay together, so
+    the row's own score meets them without a join.
     """
     names = feature_names(model)
     means = df.agg(F.struct(*[F.avg(n).alias(n) for n in names])).scalar()
@@ -127,14 +146,23 @@ def occlusion(model: PipelineModel, df: DataFrame, keys: Sequence[str], class_in
     spread = df.select(*keys, F.explode(variants).alias("_x")).select(
         *keys, "_x.feature", array_to_vector(F.col("_x.v")).alias("_features")
     )
-    p = vector_to_array(F.col("probability"))[class_index]
-    scored = model.stages[-1].transform(spread).select(*keys, "feature", p.alias("_p"))
-    base = scored.filter(F.col("feature") == "").select(*keys, F.col("_p").alias("_base"))
-    return (
-        scored.filter(F.col("feature") != "")
-        .join(base, list(keys))
-        .select(*keys, "feature", (F.col("_base") - F.col("_p")).alias("contribution"))
+    scored = model.stages[-1].transform(spread)
+    p = class_probabilities(scored)
+    scored = scored.select(*keys, F.struct("feature", *[p[c].alias(f"p{c}") for c in classes]).alias("_s"))
+    rows = scored.groupBy(*keys).agg(F.collect_list("_s").alias("_s"))  # one entry per feature, and the row itself
+    own = F.filter("_s", lambda s: s["feature"] == "")[0]
+    parts = F.flatten(
+        F.transform(
+            F.filter("_s", lambda s: s["feature"] != ""),
+            lambda s: F.array(
+                *[
+                    F.struct(F.lit(c).alias("class_index"), s["feature"].alias("feature"), (own[f"p{c}"] - s[f"p{c}"]).alias("contribution"))
+                    for c in classes
+                ]
+            ),
+        )
     )
+    return rows.select(*keys, F.explode(parts).alias("_c")).select(*keys, "_c.*")
 
 
 def attribution_mean_abs(contributions: DataFrame) -> DataFrame:

@@ -29,11 +29,11 @@ NEWS = f"""news AS (
 
 VECTORS = f"""{NEWS},
 vecs AS MATERIALIZED (
- SELECT CASE WHEN vec_id % 5 <> 0 THEN 'fin_news_v1' ELSE 'tenant_t' || (vec_id % 3) END AS namespace, vec_id AS id,
+ SELECT CASE WHEN doc_id % 5 <> 0 THEN 'fin_news_v1' ELSE 'tenant_t' || (doc_id % 3) END AS namespace, doc_id AS id,
   embedding::DOUBLE[] AS embedding, label, text, 'news_api' AS source, url, published_at,
   CASE quality WHEN 1 THEN 'POSITIVE' WHEN 0 THEN 'NEGATIVE' END AS sentiment, quality * 0.5::DOUBLE + 0.25 AS sentiment_score,
   ticker AS ticker_principal
- FROM embeddings JOIN news ON doc_id = vec_id % (SELECT count(*) FROM documents) LEFT JOIN labels USING (doc_id))"""
+ FROM news JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings) LEFT JOIN labels USING (doc_id))"""
 
 QUERIES = f"""{VECTORS},
 means AS (
@@ -41,8 +41,8 @@ means AS (
   SELECT label, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i)
  GROUP BY label),
 asks AS MATERIALIZED (
- SELECT label::BIGINT AS query_id, vector, b.text AS query_text, 't' || (label % 3) AS tenant_id,
-  {TICKER_SQL.format(n='label')} AS ticker FROM means JOIN benchmark b ON b.item_id = label)"""
+ SELECT item_id::BIGINT AS query_id, vector, b.text AS query_text, 't' || (item_id % 3) AS tenant_id,
+  {TICKER_SQL.format(n='item_id')} AS ticker FROM means JOIN benchmark b ON b.item_id % (SELECT count(*) FROM means) = label)"""
 
 
 @query(

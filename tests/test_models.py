@@ -90,3 +90,42 @@ def test_exported_champion_scores_the_same(spark, panel, tmp_path):
     assert (loaded.buy_at, loaded.sell_at, loaded.bull_limit, loaded.bear_limit) == (0.4, 0.6, 0.01, -0.02)
     scores = [models.score_probabilities(c.model, panel).agg(F.sum("prob_buy")).first()[0] for c in (champion, loaded)]
     assert scores[0] == pytest.approx(scores[1])
+
+
+def test_boosted_trees_beat_a_forest_of_the_same_depth(spark, tmp_path):
+    """A class that needs a sum of steps: shallow trees add up when boosted, and only then."""
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-1, 1, (1500, 4))
+    total = x.sum(axis=1)
+    target = np.where(total > 0.6, 1, np.where(total < -0.6, -1, 0))
+    names = ["a", "b", "c", "d"]
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(target=target, n=range(1500)))
+    fit = lambda kind, **options: models.train_classifier(rows.where("n < 1000"), names, kind=kind, maxDepth=1, **options)
+    hits = {}
+    for kind, options in (("forest", {"numTrees": 25}), ("boosted", {"maxIter": 25, "stepSize": 0.3})):
+        model = fit(kind, **options)
+        rated = models.predicted_class(model, rows.where("n >= 1000")).select((F.col("y_pred") == F.col("target")).cast("double").alias("hit"))
+        hits[kind] = rated.agg(F.avg("hit")).first()[0]
+    assert hits["boosted"] > hits["forest"] + 0.1
+    scored = models.score_probabilities(model, rows)
+    assert scored.where("prob_buy < 0 or prob_sell < 0 or prob_buy + prob_sell > 1.000001").isEmpty()
+    assert [n for n, v in models.feature_importance(model) if v > 0.1] and sum(v for _, v in models.feature_importance(model)) == pytest.approx(1, abs=0.01)
+    jobs.export_model(jobs.Champion(model, 0.4, 0.4, 0.1, -0.1), str(tmp_path / "m"))
+    again = models.score_probabilities(jobs.load_champion(spark, str(tmp_path / "m")).model, rows)
+    assert again.select(F.round(F.sum("prob_buy"), 6)).first() == scored.select(F.round(F.sum("prob_buy"), 6)).first()
+
+
+def test_search_parameters_all_act():
+    trial = vd.draw_trials(1, seed=3)[0]
+    boosted, forest = vd.trial_model(trial, "boosted"), vd.trial_model(trial, "forest")
+    assert boosted["stepSize"] == trial["learning_rate"] and boosted["maxIter"] == forest["numTrees"] == trial["n_estimators"]
+    assert 2 ** boosted["maxDepth"] <= max(trial["num_leaves"], 2) and boosted["maxDepth"] <= trial["max_depth"]
+
+
+def test_occlusion_scores_all_classes_at_once(panel):
+    rows = panel.withColumn("target", F.when(F.col("signal") > 0.4, 1).when(F.col("signal") < -0.4, -1).otherwise(0))
+    model = models.train_classifier(rows, FEATURES, numTrees=5, maxDepth=3)
+    both = {tuple(r)[:4]: r.contribution for r in models.occlusion(model, panel, ["ticker", "date"], (models.BUY, models.SELL)).collect()}
+    one = models.occlusion(model, panel, ["ticker", "date"], (models.BUY,)).collect()
+    assert len(both) == 2 * len(one) == 4 * panel.count()
+    assert all(both[tuple(r)[:4]] == pytest.approx(r.contribution) for r in one)

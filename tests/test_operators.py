@@ -316,6 +316,20 @@ def test_recursive_chunks_are_bounded_and_keep_every_character():
     assert tx.split_recursively("one two three", 8, 4) == ["one two", "three"]
 
 
+def test_recursive_chunks_in_built_in_functions_equal_the_plain_split(spark, sf_dir):
+    rng = random.Random(0)
+    texts = ["", "short", "a" * 499, "a" * 500, "a" * 501, "a" * 1200, "x" * 5000 + " " + "y" * 700, ". " * 900, "\n\n\n" * 400, " " * 2000]
+    parts = ["\n\n", "\n", ".", " ", "a", "bc", "déf", "ghijghijghij", " ", "\n\n\n"]
+    texts += ["".join(rng.choice([*parts, "z" * rng.randrange(1, 30)]) for _ in range(rng.randrange(1, 1300))) for _ in range(100)]
+    texts += ["\n".join("w" * rng.randrange(1, 700) for _ in range(20)) for _ in range(10)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string").select("i", tx.recursive_chunks(F.col("t")).alias("c"))
+    got = {r.i: r.c for r in df.collect()}
+    assert got.pop(-1) == []
+    assert [i for i, t in enumerate(texts) if got[i] != tx.split_recursively(t)] == []
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
 def test_archive_keeps_one_document_per_day_and_text(spark):
     df = spark.createDataFrame([("a", "u1", 0.0), ("a", "u2", 3600.0), ("a", "u3", 90000.0), ("b", "u4", 0.0)], "text string, url string, at double")
     rows = files.archive_rows(df, tx.epoch_ntz(F.col("at"))).collect()

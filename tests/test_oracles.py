@@ -11,7 +11,7 @@ QUERIES, TWINS = entry.queries(), entry.oracle_sql()
 # queries that fit models are slow; test_models exercises their functions on a small panel
 MODEL_JOBS = {
     "permutation_test", "loo_accuracy", "param_search", "heavy_retrain", "light_retrain", "daily_inference",
-    "train_classifier", "score_probabilities", "top_features", "attribution_mean_abs", "walk_forward",
+    "train_classifier", "train_boosted", "score_probabilities", "top_features", "attribution_mean_abs", "walk_forward",
     "champion_challenger", "export_model", "oos_portfolio",
 }
 
