@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,19 +58,33 @@ def _stage_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}"
 
 
-def clear_stage(spark: SparkSession) -> None:
-    """Delete this application's staged frames; call it when no staged frame is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+_SCOPE = contextvars.ContextVar("scope", default="frames")
+
+
+@contextlib.contextmanager
+def staging(scope: str) -> Iterator[None]:
+    """Frames staged inside lie in a folder of their own, which ``clear_stage`` can remove alone."""
+    token = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
+def clear_stage(spark: SparkSession, scope: str | None = None) -> None:
+    """Delete this application's staged frames (of one scope); call it when none of them is read any more."""
+    root = _stage_root(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root if scope is None else f"{root}/{scope}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write a frame that several branches or jobs read to the shared folder and read it back.
 
     Later readers scan only the columns they need, and a lost executor costs a re-read instead of
-    a recomputation of everything upstream.
+    a recomputation of everything upstream.  ``files``: how many at most, where the frame is known to be small.
     """
     spark = df.sparkSession
-    path = f"{_stage_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_stage_root(spark)}/{_SCOPE.get()}/{uuid.uuid4().hex}"
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
