@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantframe.llm.sources import files_for
 from quantframe.session import staged
 
 
@@ -21,22 +22,24 @@ def _lowest(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every id of ``edges(a, b)``; the component is its smallest id.
 
-    Every step is a combinable minimum and an equi-join, and is written to the shared folder, so no
-    vertex, however many edges it has, needs its neighbours in one place and no lineage grows.
-    Self-loops, repeated edges and both directions may occur; null ends are ignored.
+    Every step is a combinable minimum and an equi-join, and is written to the shared folder, so no lineage
+    grows.  The join on a vertex brings its edges, which are pairs of numbers, to one task unless the planner splits it.
+    Self-loops, repeated edges and both directions may occur; null ends are ignored.  ``edges`` are counted first:
+    they should be a written frame.
     """
+    files = files_for(edges)  # no step makes more edges than it gets
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a") == F.col("b")).alias("loop"))
-    edges = staged(edges.where(F.col("loop").isNotNull()).select("a", "b").distinct())
+    edges = staged(edges.where(F.col("loop").isNotNull()).select("a", "b").distinct(), files)
     ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     edges, seen = edges.where("a <> b"), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = _lowest(both).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = staged(large)
+        large = staged(large, files)
         low = _lowest(large)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = staged(small.union(low).distinct())
+        edges = staged(small.union(low).distinct(), files)
         now = _state(edges)
         if now == seen:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -14,3 +15,17 @@ def small_batches(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a few short columns that may travel to every executor.
+TRAVELLING = 1 << 19
+
+
+def travelling(df: DataFrame) -> DataFrame:
+    """A written frame of short rows, sent to every executor if it is counted to be small, else as it is."""
+    return F.broadcast(df) if df.limit(TRAVELLING + 1).count() <= TRAVELLING else df
+
+
+def files_for(df: DataFrame, rows: int = 1 << 19) -> int:
+    """How many files of about ``rows`` rows hold at most as many rows as a written frame has."""
+    return -(-df.count() // rows) or 1
