@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from quantframe.llm.arrow import chunks, lists, texts
 from quantframe.llm.near_text import shingles
+from quantframe.llm.sources import files_for
 from quantframe.session import staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -98,7 +99,7 @@ def mine(docs: DataFrame, labelled: DataFrame, fit_rows: int, features: int) ->
     # one text of each group of copies, near ones too: the words of a copied document would all look like its label
     texts_of = staged(texts_of.withColumn("group", F.pandas_udf(_least_shingle, "long")("text")))
     sample = texts_of.groupBy("group").agg(F.min("doc_id").alias("doc_id"), F.min_by("toxic", "doc_id").alias("toxic"))
-    sample = staged(sample.select("doc_id", "toxic"))
+    sample = staged(sample.select("doc_id", "toxic"), files=1)  # at most fit_rows
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not toxic or not clean:
@@ -110,7 +111,7 @@ def mine(docs: DataFrame, labelled: DataFrame, fit_rows: int, features: int) ->
         part = read.where(F.col("toxic") == label).select("text").mapInArrow(_tally(wanted), "feature string, n long")
         return part.groupBy("feature").agg(F.sum("n").alias("toxic" if label else "clean"))
 
-    found = staged(tally(1, None).where("toxic >= 3"))
+    found = staged(tally(1, None).where("toxic >= 3"), files=4)  # of at most fit_rows texts
     wanted = frozenset(r[0] for r in found.select("feature").collect())  # of at most fit_rows texts
     tallied = found.join(tally(0, wanted), "feature", "left").fillna(0, ["clean"])
     # log-likelihood ratio of the feature's split over the classes against the split of the sample
@@ -244,7 +245,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, feature
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labelled = labels.where("toxic is not null and doc_id is not null").where(~is_held_out())
     labelled = labelled.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    labelled = staged(labelled)
+    labelled = staged(labelled, files_for(labels))
     names = mine(docs, labelled, fit_rows, features)
     result = (is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
     if not names:
@@ -253,7 +254,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, feature
 
     read = staged(docs.mapInArrow(_hits(names), "doc_id long, hits array<int>"))
     known = read.join(labelled.withColumnRenamed("toxic", "label"), "doc_id", "left").withColumn("held_out", is_held_out())
-    patterns = staged(known.groupBy("hits", F.col("label").cast("double").alias("label"), "held_out").agg(F.count(F.lit(1)).alias("n")))
+    patterns = staged(known.groupBy("hits", F.col("label").cast("double").alias("label"), "held_out").agg(F.count(F.lit(1)).alias("n")), files_for(read, 50_000))
     model = fit_label_model(patterns.select("hits", "label", "n"), names)
 
     voter = voters_of(names)
@@ -268,7 +269,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, feature
     teach = patterns.where("not held_out").withColumn("p", posterior("hits", "label"))
     teach = teach.groupBy("hits").agg(F.sum(F.expr("n * p")).alias("toxic"), F.sum(F.expr("n * (1 - p)")).alias("clean"))
     teach = teach.select(sparse("hits").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("toxic").alias("w")), F.struct(F.lit(0.0).alias("label"), F.col("clean").alias("w")))).alias("x"))
-    teach = staged(teach.select("features", "x.label", "x.w").where("w > 1e-6"))
+    teach = staged(teach.select("features", "x.label", "x.w").where("w > 1e-6"), files_for(patterns, 50_000))
     line = LogisticRegression(weightCol="w", regParam=1e-5, maxIter=100, standardization=False).fit(teach)
     slope, offset = line.coefficients.toArray(), float(line.intercept)
 
