@@ -28,8 +28,9 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, GAPS, " ")))
+def _normals(text: Column) -> Column:
+    """Every line of a text in lower case with runs of blanks as one; blanks are replaced in the whole text at once."""
+    return F.transform(F.split(F.lower(F.regexp_replace(text, GAPS, " ")), "\n"), F.trim)
 
 
 def _on_different_pages(facts: DataFrame, common: DataFrame, ratio: float, least: int) -> DataFrame:
@@ -67,7 +68,7 @@ def drop_site_lines(
         raise ValueError(f"columns {clash} are the operator's own; rename them first")
     lines = F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(text), "\n"))
     read = pages.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("\0")), "_lines": lines})
-    normals = F.transform("_lines", _normal)
+    normals = F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(_normals(F.col(text)))
     bodies = F.filter(normals, lambda x: x != "")
     marks = F.transform(bodies, lambda x: F.struct(F.length(x).alias("size"), F.xxhash64(x).alias("key")))
 
@@ -84,7 +85,7 @@ def drop_site_lines(
     common = common.groupBy("_host").agg(F.collect_list("key").alias("_drop"))
 
     joined = read.join(common, "_host", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<bigint>")))
-    lined = F.transform("_lines", lambda x: F.struct(x.alias("line"), _normal(x).alias("normal")))
+    lined = F.zip_with("_lines", normals, lambda x, y: F.struct(x.alias("line"), y.alias("normal")))
     stays = F.filter(lined, lambda x: (x["normal"] == "") | ~F.array_contains("_drop", F.xxhash64(x["normal"])))
     kept = joined.withColumn("_keys", F.transform(stays, lambda x: x["line"]))
     return kept.withColumns(
