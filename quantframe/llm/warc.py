@@ -8,6 +8,7 @@ index entries; runs are dealt to key ranges and merged there by a loser tree.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -103,7 +104,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         joined = pages.join(decided.withColumnRenamed("page_id", "id"), F.col("page_id").eqNullSafe(F.col("id")))
     rows = joined.select("page_id", "url", "url_key", "payload_bytes", "digest", "refers_to", "first", "html")
     records = rows.mapInArrow(_records, "volume long, record string").select("record", F.concat_ws("-", F.spark_partition_id(), "volume").alias("volume"))
-    records.write.partitionBy("volume").option("lineSep", "\r\n").text(path)
+    records.write.partitionBy("volume").option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def parse_volume(data: bytes) -> list[dict]:
@@ -158,12 +159,15 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in ENTRY.split(", ")]
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
-            rows = [r | {"volume": path.as_py()} for r in parse_volume(content.as_py())]
+            rows = [r | {"volume": path.as_py()} for r in parse_volume(gzip.decompress(content.as_py()))]
             yield _arrow(rows, names, LONGS)
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """Index entries of all volumes under ``path``; a volume is one input row of bounded size."""
+    """Index entries of all volumes under ``path``; a volume is one input row of bounded size.
+
+    Volumes are compressed; offsets count the bytes of the volume as it is without that.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     entries = files.where("length > 0").select("path", "content").mapInArrow(_indexed, ENTRY)
     return entries.withColumn("url_key", url_key(F.col("url"))).select("url_key", *[c.split()[0] for c in ENTRY.split(", ")])
