@@ -78,13 +78,15 @@ def clear_stage(spark: SparkSession, scope: str | None = None) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, files: int | None = None) -> DataFrame:
+def staged(df: DataFrame, files: int | None = None, row_group: int | None = None) -> DataFrame:
     """Write a frame that several branches or jobs read to the shared folder and read it back.
 
     Later readers scan only the columns they need, and a lost executor costs a re-read instead of
     a recomputation of everything upstream.  ``files``: how many at most, where the frame is known to be small.
+    ``row_group``: bytes that a task holds before it writes them, for rows with large values.
     """
     spark = df.sparkSession
     path = f"{_stage_root(spark)}/{_SCOPE.get()}/{uuid.uuid4().hex}"
-    (df if files is None else df.coalesce(files)).write.parquet(path)
+    writer = (df if files is None else df.coalesce(files)).write
+    (writer if row_group is None else writer.option("parquet.block.size", row_group)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
