@@ -11,6 +11,7 @@ from quantframe.llm import (
 )
 from quantframe.llm.registry import ORACLES, QUERIES, query
 from quantframe.llm.sources import table
+from quantframe.session import staged
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -54,7 +55,8 @@ from page p left join kept k on p.page_id = k.page_id
 @query("op4_site_lines", OP4_SQL)
 def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", site_lines.host_of(F.col("url")).alias("host"), site_lines.visible(F.col("html")).alias("text"))
-    out = site_lines.drop_site_lines(pages, "host", "text", boilerplate_ratio=0.1, min_pages=3)
+    # the texts are read twice, and cutting the tags away is most of the work
+    out = site_lines.drop_site_lines(staged(pages), "host", "text", boilerplate_ratio=0.1, min_pages=3)
     return out.select("page_id", "host", "n_lines", "n_dropped", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
 
 

@@ -30,7 +30,7 @@ def host_of(url: Column) -> Column:
 
 def _normals(text: Column) -> Column:
     """Every line of a text in lower case with runs of blanks as one; blanks are replaced in the whole text at once."""
-    return F.transform(F.split(F.lower(F.regexp_replace(text, GAPS, " ")), "\n"), F.trim)
+    return F.transform(F.split(F.lower(F.regexp_replace(text, GAPS, " ")), "\n"), lambda line: F.trim(line))
 
 
 def _on_different_pages(facts: DataFrame, common: DataFrame, ratio: float, least: int) -> DataFrame:
