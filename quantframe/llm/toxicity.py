@@ -9,7 +9,8 @@
     together more than the class explains share their weight.  An abstention says nothing; what a text is
     on which all abstain is read from the labels that may be used.
 3.  Classifier.  A logistic regression on the mined features is fitted to the posterior labels of all
-    documents that are not held out; every document is scored by it.
+    documents that are not held out; every document is scored by it.  Known labels anchor the label model
+    only: the classifier sees the posterior of labelled rows too, never the label itself.
 """
 
 from __future__ import annotations
@@ -259,13 +260,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, feature
     voter = voters_of(names)
 
     @F.pandas_udf("double")
-    def posterior(hits: pd.Series, label: pd.Series) -> pd.Series:
-        p = model.posterior(_votes(pa.array(hits.to_list(), pa.list_(pa.int32())), voter, VOTERS))
-        return label.astype(float).where(label.notna(), pd.Series(p, index=label.index))
+    def posterior(hits: pd.Series) -> pd.Series:
+        return pd.Series(model.posterior(_votes(pa.array(hits.to_list(), pa.list_(pa.int32())), voter, VOTERS)))
 
     size = len(names)
     sparse = F.udf(lambda hits: SparseVector(size, [int(i) for i in hits], [1.0] * len(hits)), VectorUDT())
-    teach = patterns.where("not held_out").withColumn("p", posterior("hits", "label"))
+    teach = patterns.where("not held_out").withColumn("p", posterior("hits"))
     teach = teach.groupBy("hits").agg(F.sum(F.expr("n * p")).alias("toxic"), F.sum(F.expr("n * (1 - p)")).alias("clean"))
     teach = teach.select(sparse("hits").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("toxic").alias("w")), F.struct(F.lit(0.0).alias("label"), F.col("clean").alias("w")))).alias("x"))
     teach = staged(teach.select("features", "x.label", "x.w").where("w > 1e-6"))
