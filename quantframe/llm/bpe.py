@@ -30,6 +30,8 @@ from quantframe.llm.tokens import read_ranks
 
 #: Text handled at a time, and words remembered with their ids in a worker.
 CHUNK, REMEMBERED = 4 << 20, 1_000_000
+#: Bytes of new words that a query contracts at a time; one longer word is alone.
+WORD_BYTES = 1 << 18
 
 ENCODE = """
 with recursive t(pos, word, id, head, tail) using key (pos) as (
@@ -127,7 +129,7 @@ class _Coder:
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         pairs, holders = map(pa.table, merge_table(self.ranks))  # noqa: F841
         self.db.execute("create table near as select pair, l::int l, r::int r, id::int id, alone from pairs")
         self.db.execute("create table inside as select key, rank::int rank from holders")
@@ -151,12 +153,19 @@ class _Coder:
             data = word.encode("utf-8", "surrogatepass")
             (whole if data in self.ranks else todo).append((word, data))
         self._remember([w for w, _ in whole], np.ones(len(whole), np.int64), np.array([self.ranks[d] for _, d in whole], np.int64))
-        if not todo:
-            return
+        ends = np.cumsum([len(d) for _, d in todo])
+        start = 0
+        while start < len(todo):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + WORD_BYTES, side="right")))
+            self._contract(todo[start:stop])
+            start = stop
+
+    def _contract(self, todo: list[tuple[str, bytes]]) -> None:
         sizes = np.array([len(d) for _, d in todo])
         word = np.repeat(np.arange(len(todo), dtype=np.int32), sizes)
         data = np.frombuffer(b"".join(d for _, d in todo), np.uint8)
-        started = pa.table({"pos": np.arange(len(data), dtype=np.int64), "word": word, "id": self.first[data], "byte": data})  # noqa: F841
+        started = pa.table({"pos": np.arange(len(data), dtype=np.int32), "word": word, "id": self.first[data], "byte": data})  # noqa: F841
         done = self.db.sql(ENCODE).to_arrow_table()
         self._remember([w for w, _ in todo], np.bincount(done.column("word").to_numpy(), minlength=len(todo)), done.column("id").to_numpy())
 
