@@ -53,7 +53,8 @@ def drop_site_lines(
     A non-blank line is dropped where it stands on at least ``boilerplate_ratio`` of the host's distinct
     page contents and on at least ``min_pages`` of them.  Lines are compared in lower case with runs of
     blanks as one; blank lines stay.  A null text has no lines and stays null; an empty one stays empty;
-    a null host is a host of its own.  Every row returns, repeated rows included, with its own columns.
+    a null host is a host of its own.  Every row returns, repeated rows included, with its own columns; a column
+    that has the name of one of the three results is replaced by it.
 
     With ``floor`` the ratio falls with the line's length: ``boilerplate_ratio`` divided by its characters, but
     not under ``floor``.  Short lines recur by chance, long ones do not.  As so low a ratio would also meet
@@ -63,9 +64,12 @@ def drop_site_lines(
     A line above the ratio uses up that share of its host's lines, so a host has at most (mean lines per
     page) / ratio (or floor) of them: that small list per host is what meets the pages, not a join by line.
     """
-    made = ("_host", "_lines", "_keys", "_page", "_drop")
-    if clash := [c for c in (*made, "kept_text", "n_lines", "n_dropped") if c in pages.columns]:
-        raise ValueError(f"columns {clash} are the operator's own; rename them first")
+    made, results = ("_host", "_lines", "_keys", "_page", "_drop"), ("kept_text", "n_lines", "n_dropped")
+    prefix = "_input"
+    while any(c.lower().startswith(prefix) for c in pages.columns):
+        prefix += "_"
+    aside = {c: f"{prefix}{i}" for i, c in enumerate(pages.columns) if c.lower() in (*made, *results)}
+    pages, host, text = pages.withColumnsRenamed(aside), aside.get(host, host), aside.get(text, text)
     lines = F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(text), "\n"))
     read = pages.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("\0")), "_lines": lines})
     normals = F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(_normals(F.col(text)))
@@ -88,10 +92,12 @@ def drop_site_lines(
     lined = F.zip_with("_lines", normals, lambda x, y: F.struct(x.alias("line"), y.alias("normal")))
     stays = F.filter(lined, lambda x: (x["normal"] == "") | ~F.array_contains("_drop", F.xxhash64(x["normal"])))
     kept = joined.withColumn("_keys", F.transform(stays, lambda x: x["line"]))
-    return kept.withColumns(
+    out = kept.withColumns(
         {
             "kept_text": F.when(F.col(text).isNotNull(), F.array_join("_keys", "\n")),
             "n_lines": F.size("_lines").cast("long"),
             "n_dropped": (F.size("_lines") - F.size("_keys")).cast("long"),
         }
-    ).drop(*made)
+    )
+    back = {new: old for old, new in aside.items() if old.lower() in made}
+    return out.drop(*made, *(new for new in aside.values() if new not in back)).withColumnsRenamed(back)
