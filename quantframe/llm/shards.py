@@ -82,6 +82,8 @@ def _placed(paths: tuple[str, str, str], length: int, end_id: int, key: int, sta
         def flush() -> pa.RecordBatch:
             slots = permuted(np.arange(start + done - len(rows), start + done), size, key)
             first, last, ids = zip(*rows) if rows else ((), (), ())
+            if any(int(i.max()) > 0xFFFF for i in ids):
+                raise ValueError("an id does not fit 16 bits: shards hold vocabularies of at most 65,536 ids")
             return pa.record_batch(
                 {
                     "slot": pa.array(slots),
@@ -175,7 +177,7 @@ def materialise(
     """Write the ids of ``docs(doc_id, text)`` as shards under ``path`` and return their index.
 
     One row per sequence: ``slot, shard, byte_offset, n_tokens, first_doc_id, last_doc_id, ids_crc32``.  Ids
-    are little-endian unsigned 16-bit; a short sequence (the last of an input partition) is padded with the
+    are little-endian unsigned 16-bit (a larger id is an error); a short sequence (the last of an input partition) is padded with the
     end id.  A null or empty text is the end id alone; an empty table gives no shards; repeated rows are
     written each; other columns are ignored.  Texts are encoded twice, once to count the sequences of every
     partition and once to write, because keeping the ids would take more disk than the shards; ``docs`` must
