@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import string
 import zlib
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quantframe.llm import bpe, chat, digests, near_text, near_vectors, packing, shards, site_lines, toxicity, warc
 from quantframe.llm.graph import components
-from quantframe.llm.tokens import encode, rank_encoder
+from quantframe.llm.tokens import encode, rank_encoder, read_ranks
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -170,6 +173,19 @@ def test_bpe(docs, empty):
     assert bpe.encode_decode(empty, MULTI, PATTERN).count() == 0
 
 
+def test_bpe_long_and_odd_words():
+    """Words of tens of thousands of letters, and short ones in which many pairs overlap or compete."""
+    rng = random.Random(7)
+    letters = string.ascii_letters + string.digits + "+/"
+    words = ["".join(rng.choices(letters, k=30_000)), "abc" * 10_000, "a" * 20_001, "-=" * 9_999, "日本語" * 3_000]
+    words += ["".join(rng.choices(some, k=rng.randint(1, 70))) for some in ("ab", "aeinrst ", "=-_", "thead") for _ in range(1_500)]
+    tokens = sorted(read_ranks(MULTI))
+    words += [w for _ in range(1_500) if (w := b"".join(rng.choices(tokens, k=rng.randint(2, 12))).decode("utf-8", "ignore"))]
+    one_piece = rank_encoder(MULTI, r"(?s).+")
+    got = bpe._Coder(MULTI).encode([[w] for w in words])
+    assert [g.tolist() for g in got] == [one_piece.encode_ordinary(w) for w in words]
+
+
 def test_digests(spark, empty):
     texts = [(t or "") for t in TEXTS]
     table = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
@@ -229,6 +245,10 @@ def test_site_lines(spark):
     assert got[3]["kept_text"] == "body 3\n" and got[3]["n_dropped"] == 2 and got[10]["kept_text"] is None
     assert got[11]["kept_text"] == "" and got[12]["kept_text"] == "Menu" and len(got) == 14
     assert site_lines.drop_site_lines(table.limit(0), "host", "body").count() == 0
+    clash = table.withColumns({"kept_text": F.lit("old"), "_host": F.lit("mine"), "_Keys": F.lit(1), "_input0": F.lit(2)})
+    again = site_lines.drop_site_lines(clash.withColumnRenamed("body", "N_lines"), "host", "N_lines", 0.5, 3).collect()
+    assert {r["page_id"]: r["kept_text"] for r in again} == {i: r["kept_text"] for i, r in got.items()}
+    assert all(r["_host"] == "mine" and r["_Keys"] == 1 and r["_input0"] == 2 for r in again)
 
 
 def test_source_lines_of_every_size(spark):
