@@ -103,6 +103,23 @@ def test_position_state_and_grid_match_the_day_loop(spark):
     assert all(r.fwd_log_return == pytest.approx(by_key.get((r.ticker, r.date), (0, 0.0))[1]) for r in grid)
 
 
+def test_grid_expansion_is_not_collected_for_a_broadcast(spark):
+    """The planner takes an expansion for as small as its tickers; it must be shuffled all the same."""
+    df = spark.createDataFrame([(t, d, 1.0) for t in "AB" for d in days(1500)] + [(None, days(3)[2], 2.0)], "ticker string, date date, v double")
+    grid = pf.date_ticker_grid(df, ["v"])
+    assert grid.count() == 3 * 1500
+    rows = {(r.ticker, r.date): r.v for r in grid.collect()}
+    assert len(rows) == 3 * 1500 and rows[(None, days(3)[2])] == 0.0 and rows["B", days(1500)[-1]] == 1.0
+    depth = lambda line: max(line.find("+- "), line.find(":- "))
+    plan = grid._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    made = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    above, level = [], depth(plan[made])
+    for line in reversed(plan[:made]):
+        if depth(line) < level:
+            above, level = [*above, line], depth(line)
+    assert any("SortMergeJoin" in line for line in above) and not any("BroadcastExchange" in line for line in above)
+
+
 def test_metrics_use_population_std_and_start_at_the_first_point(spark):
     returns = [-0.02, 0.01, 0.03, -0.05, 0.02]
     df = spark.createDataFrame([("A", d, 1, r) for d, r in zip(days(5), returns)], "ticker string, date date, y_pred int, fwd_log_return double")
