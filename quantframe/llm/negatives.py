@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,7 +141,7 @@ def _negatives(k: int, low: int, high: int):
 
 
 def _sides(anchors: pa.Table, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, Lists]:
-    width = max(pa.compute.max(pa.compute.list_value_length(t.column("vector"))).as_py() for t in (anchors, rows))
+    width = max(pc.max(pc.list_value_length(t.column("vector"))).as_py() for t in (anchors, rows))
     a, r = _comparable(_matrix(anchors.column("vector"), width), _matrix(rows.column("vector"), width))
     return anchors.column("vec_id").to_numpy(), a, Lists(rows.column("vec_id").to_numpy(), rows.column("label").to_numpy(), r)
 

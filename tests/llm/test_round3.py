@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -236,3 +239,10 @@ def test_quality_of_sf(spark):
     got = quality.quality(docs, labels).join(labels, "doc_id").where("held_out").select("score", "quality").collect()
     good, bad = ([r.score for r in got if r.quality == q] for q in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) > 0.97
+
+
+def test_negatives_import_what_they_call():
+    """A fresh worker has loaded nothing else that imports pyarrow's functions."""
+    code = "import sys; from quantframe.llm import negatives; import pyarrow as pa; t = pa.table({'vec_id': [1], 'label': [1], 'vector': [[1, 2]]});"
+    code += "sys.modules.pop('pyarrow.compute', None); pa.__dict__.pop('compute', None); negatives._sides(t, t)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2])
