@@ -8,7 +8,8 @@ order here puts all short lists before the long ones, so the lists that are met
 the whole document is made of frequent passages.  A candidate's exact overlap is counted by binary search of the
 smaller set in the larger one.
 
-A list is never expanded into all its pairs.  First every member is held against the list's most
+Where every link is asked for, all pairs of a list that pass the size and position filters are counted.  Where only the
+components are, a list is never expanded into all its pairs.  First every member is held against the list's most
 central member (the one with the fewest rare shingles) and a few others; linked sets become components; then
 those outside a list's largest component meet the members of *other* components, which is still exact for the components: a pair that is left out
 has both ends in one component already.
@@ -285,6 +286,10 @@ class _Join:
         likely = staged(bits.mapInArrow(_may_reach(self.num, self.den), "a long, b long"))
         return staged(with_both(likely, "bag").select("a", "b", "x_a", "x_b").mapInArrow(_overlaps(self.num, self.den), "a long, b long"))
 
+    def pairs(self, marked: DataFrame) -> DataFrame:
+        """Every pair of one list that size and position allow: as many as there are links, where lists are of near copies."""
+        return self._met(marked, marked, "l.node < r.node")
+
     def led(self, marked: DataFrame) -> DataFrame:
         """Pairs of every list's members with its guides."""
         return self._met(marked, marked.where("guide"), "l.node <> r.node and (not l.guide or l.node < r.node)")
@@ -305,23 +310,28 @@ class _Join:
         return met.selectExpr("least(l.node, r.node) as a", "greatest(l.node, r.node) as b").distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, denominator: int = 100) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, words: int = 3, numerator: int = 90, denominator: int = 100, every_link: bool = True
+) -> DataFrame:
     """Classes of documents joined by shingle sets with Jaccard >= numerator / denominator.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  Returns one row per input row:
     ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links, itself included) and
-    ``class_links`` (links verified from the document's set to other sets; pairs inside one component
-    need not all be verified).  A null or empty text, or one without words, has the empty set and
+    ``class_links`` (links from the document's set to other sets; without ``every_link`` only those that it took
+    to find the components, which saves the pairs of long lists).  A null or empty text, or one without words, has the empty set and
     links with nothing.  Repeated rows are copies.  A null doc_id takes part but never names a
     component unless it stands alone.  Hashes of 64 bits stand for shingles, 128 bits for whole sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     work = _Join(docs, words, numerator, denominator)
     marked = work.postings()
-    tried = staged(work.led(marked))
-    every = work.links(tried)
-    rest = staged(work.across(marked, every).join(tried, ["a", "b"], "left_anti"))
-    every = every.unionByName(work.links(rest))
+    if every_link:
+        every = work.links(staged(work.pairs(marked)))
+    else:
+        tried = staged(work.led(marked))
+        every = work.links(tried)
+        rest = staged(work.across(marked, every).join(tried, ["a", "b"], "left_anti"))
+        every = every.unionByName(work.links(rest))
     whole = components(every).select(F.col("id").alias("node"), "component")
 
     degree = every.select(F.col("a").alias("node")).unionAll(every.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("class_links"))
@@ -343,7 +353,7 @@ def keep_one(docs: DataFrame, words: int = 5, numerator: int = 80, denominator:
 
     Documents without words all stay, and so do rows that share the kept doc_id.
     """
-    found = jaccard_components(docs, words, numerator, denominator)
+    found = jaccard_components(docs, words, numerator, denominator, every_link=False)
     kept = F.col("doc_id").isNull() | (F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))
     rows = found.groupBy("doc_id").agg(F.max(kept.cast("int")).alias("kept"))
     gone = travelling(staged(rows.where("kept = 0").select("doc_id"), files=files_for(docs)))

@@ -77,6 +77,16 @@ def test_jaccard_empty(empty):
     assert near_text.jaccard_components(empty).count() == 0
 
 
+def test_links_inside_a_component_of_long_lists_are_all_counted(spark):
+    """Eighty variants of one text: their lists are longer than LEADERS, and each links with all others but its copy."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join([*words[: 5 * k], f"odd{k}", *words[5 * k + 1 :]])) for k in range(80)] + [(80, " ".join(["odd0", *words[1:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_text.jaccard_components(docs, 3, 90, 100).collect()
+    assert len(got) == 81 and {(r.component_id, r.class_links) for r in got} == {(0, 79)}
+    assert {r.doc_id for r in near_text.keep_one(docs, 3, 90, 100).collect()} == {0}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 16))
