@@ -129,3 +129,13 @@ def test_occlusion_scores_all_classes_at_once(panel):
     one = models.occlusion(model, panel, ["ticker", "date"], (models.BUY,)).collect()
     assert len(both) == 2 * len(one) == 4 * panel.count()
     assert all(both[tuple(r)[:4]] == pytest.approx(r.contribution) for r in one)
+
+
+def test_permutations_share_one_stored_panel(panel, monkeypatch):
+    indexed = vd.index_panel(panel)
+
+    def again(_):
+        raise AssertionError("the panel is stored a second time")
+
+    monkeypatch.setattr(vd, "index_panel", again)
+    assert vd.permutation_test(indexed, FEATURES, PLAN, 0.9, iterations=1).first()["iterations"] == 1
