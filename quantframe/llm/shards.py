@@ -23,6 +23,8 @@ from quantframe.llm.tokens import encode
 from quantframe.session import shared_dir, staged
 
 ROUNDS = 6
+#: Sequences that are compressed together: the kept ids then take about half as much disk as the shards.
+TOGETHER = 512
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -65,44 +67,56 @@ def _sequences(batches: Iterator[pa.RecordBatch], code, length: int, end_id: int
         yield owners[0], owners[-1], np.concatenate(waiting)
 
 
-def _counted(paths: tuple[str, str, str], length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(len(encode(t, *paths)) + 1 for batch in chunks(batches, "text", 4 << 20) for t in texts(batch))
-        yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([-(-total // length)], pa.int64())})
-
-    return run
+def _coded(paths: tuple[str, str, str], length: int, end_id: int):
+    """Sequences of a partition, up to ``TOGETHER`` of them as one compressed row."""
 
-
-def _placed(paths: tuple[str, str, str], length: int, end_id: int, key: int, starts: dict[int, tuple[int, int]], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, count = starts.get(TaskContext.get().partitionId(), (0, 0))
+        part, codec = TaskContext.get().partitionId(), pa.Codec("zstd", compression_level=9)
         rows: list[tuple] = []
         done = 0
 
         def flush() -> pa.RecordBatch:
-            slots = permuted(np.arange(start + done - len(rows), start + done), size, key)
-            first, last, ids = zip(*rows) if rows else ((), (), ())
+            first, last, ids = zip(*rows)
             if any(int(i.max()) > 0xFFFF for i in ids):
                 raise ValueError("an id does not fit 16 bits: shards hold vocabularies of at most 65,536 ids")
+            blob = np.concatenate(ids).astype("<u2").tobytes()
+            docs = [pa.array([x], pa.list_(pa.int64())) for x in (first, last, [len(i) for i in ids])]
             return pa.record_batch(
-                {
-                    "slot": pa.array(slots),
-                    "first_doc_id": pa.array(first, pa.int64()),
-                    "last_doc_id": pa.array(last, pa.int64()),
-                    "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
-                    "ids": pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()),
-                }
+                [pa.array([part], pa.int64()), pa.array([done - len(rows)], pa.int64()), *docs, pa.array([codec.compress(blob, asbytes=True)], pa.binary())],
+                names=["part", "at", "first", "last", "sizes", "ids"],
             )
 
         for row in _sequences(batches, lambda t: encode(t, *paths), length, end_id):
             rows.append(row)
             done += 1
-            if len(rows) == 512:
+            if len(rows) == TOGETHER:
                 yield flush()
                 rows = []
-        if done != count:
-            raise ValueError(f"a partition gave {done} sequences after {count}: the input must be a table that reads alike twice")
-        yield flush()
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _placed(key: int, starts: dict[int, int], size: int):
+    """A row for each sequence with its slot; the ids travel compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            for part, at, first, last, sizes, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                ends = 2 * np.cumsum(sizes)
+                data = codec.decompress(blob, int(ends[-1]), asbytes=True)
+                start = starts[part] + at
+                yield pa.record_batch(
+                    {
+                        "slot": pa.array(permuted(np.arange(start, start + len(sizes)), size, key)),
+                        "first_doc_id": pa.array(first, pa.int64()),
+                        "last_doc_id": pa.array(last, pa.int64()),
+                        "n_tokens": pa.array(sizes, pa.int64()),
+                        "ids": pa.array([codec.compress(data[e - 2 * n : e], asbytes=True) for n, e in zip(sizes, ends)], pa.binary()),
+                    }
+                )
 
     return run
 
@@ -131,13 +145,14 @@ def _written(path: str, length: int, per_shard: int, end_id: int, size: int):
                 out.write(buffer)
             store.move(part, name)
 
+        codec = pa.Codec("zstd")
         for batch in batches:
             crcs, shards, offsets = [], [], []
-            for slot, ids in zip(batch.column(0).to_pylist(), batch.column(4)):
+            for slot, n, ids in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 if slot // per_shard != shard:
                     close()
                     buffer, shard = bytearray(), slot // per_shard
-                data = ids.as_buffer()
+                data = codec.decompress(ids.as_buffer(), 2 * n, asbytes=True)
                 offsets.append(len(buffer))
                 shards.append(shard)
                 crcs.append(zlib.crc32(data))
@@ -179,22 +194,21 @@ def materialise(
     One row per sequence: ``slot, shard, byte_offset, n_tokens, first_doc_id, last_doc_id, ids_crc32``.  Ids
     are little-endian unsigned 16-bit (a larger id is an error); a short sequence (the last of an input partition) is padded with the
     end id.  A null or empty text is the end id alone; an empty table gives no shards; repeated rows are
-    written each; other columns are ignored.  Texts are encoded twice, once to count the sequences of every
-    partition and once to write, because keeping the ids would take more disk than the shards; ``docs`` must
-    therefore read alike both times (a table does).  A task that is repeated writes the same bytes again.
+    written each; other columns are ignored.  Texts are encoded once: the compressed sequences are kept in the shared
+    folder, from where they are counted and written.  A task that is repeated writes the same bytes again.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    paths = (json_path, rank_path, pattern)
-    counts = sorted((r[0], r[1]) for r in docs.mapInArrow(_counted(paths, length), "part long, n long").collect())  # a row a partition
+    coded = "part long, at long, first array<long>, last array<long>, sizes array<long>, ids binary"
+    kept = staged(docs.mapInArrow(_coded((json_path, rank_path, pattern), length, end_id), coded))
+    counts = sorted((r[0], r[1]) for r in kept.groupBy("part").agg(F.sum(F.size("sizes"))).collect())  # a row a partition
     starts, size = {}, 0
     for part, n in counts:
-        starts[part] = (size, n)
-        size += n
+        starts[part], size = size, size + n
     shards = -(-size // per_shard)
     ranges = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     schema = "slot long, first_doc_id long, last_doc_id long, n_tokens long, ids binary"
-    placed = docs.mapInArrow(_placed(paths, length, end_id, key, starts, size), schema)
+    placed = kept.mapInArrow(_placed(key, starts, size), schema)
     home = F.floor(F.floor(F.col("slot") / per_shard) * ranges / max(shards, 1)).cast("int")
     dealt = placed.repartitionById(ranges, home).sortWithinPartitions("slot")
     index = "slot long, first_doc_id long, last_doc_id long, n_tokens long, shard long, byte_offset long, ids_crc32 long"

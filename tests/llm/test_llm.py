@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import string
 import zlib
@@ -248,6 +249,12 @@ def test_shards(docs, empty):
     assert shards.write_and_read(empty, JSON, RANKS, PATTERN).count() == 0
 
 
+def test_shards_read_their_texts_once(spark):
+    odd = F.udf(lambda i: "word " * int.from_bytes(os.urandom(2)), "string").asNondeterministic()
+    rows = shards.write_and_read(spark.range(8, numPartitions=2).select(F.col("id").alias("doc_id"), odd("id").alias("text")), JSON, RANKS, PATTERN, length=32, per_shard=16).collect()
+    assert rows and all(r.ids_crc32 == r.slot_crc32 for r in rows if r.n_tokens == 32)
+
+
 def test_site_lines(spark):
     rows = [(i, "h", f"Menu\nbody {i}\n\nmenu ") for i in range(10)] + [(10, "h", None), (11, "h", ""), (12, None, "Menu"), (13, "h", "Menu\nbody 1\n\nmenu ")]
     table = spark.createDataFrame(rows, "page_id long, host string, body string")
