@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 
 import numpy as np
@@ -28,9 +29,14 @@ def _json_encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-    return tokenizer, special
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def _added(path: str) -> tuple[str, ...]:
+    """Strings of the added tokens, read without the tokenizer, which would stay in every worker's memory."""
+    with open(path, encoding="utf-8") as file:
+        return tuple(t["content"] for t in json.load(file)["added_tokens"])
 
 
 def encode(text: str, json_path: str, rank_path: str, pattern: str) -> np.ndarray:
@@ -39,7 +45,6 @@ def encode(text: str, json_path: str, rank_path: str, pattern: str) -> np.ndarra
     ``rank_path`` holds the same vocabulary as ranks, which give the same ids several times faster;
     a text in which an added token's own string occurs goes through the tokenizer itself.
     """
-    tokenizer, special = _json_encoder(json_path)
-    if any(s in text for s in special):
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    if any(s in text for s in _added(json_path)):
+        return np.array(_json_encoder(json_path).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.array(rank_encoder(rank_path, pattern).encode_ordinary(text), np.uint32)

@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quantframe.llm import bpe, chat, digests, near_text, near_vectors, packing, shards, site_lines, toxicity, warc
+from quantframe.llm import bpe, chat, digests, near_text, near_vectors, packing, shards, site_lines, tokens, toxicity, warc
 from quantframe.llm.graph import components
 from quantframe.llm.tokens import encode, rank_encoder, read_ranks
 
@@ -249,6 +249,13 @@ def test_shards(docs, empty):
     assert shards.write_and_read(empty, JSON, RANKS, PATTERN).count() == 0
 
 
+def test_the_tokenizer_is_loaded_only_for_added_tokens():
+    tokens._json_encoder.cache_clear()
+    encode("plain words", JSON, RANKS, PATTERN)
+    assert tokens._json_encoder.cache_info().currsize == 0
+    assert list(encode("a<|endoftext|>", JSON, RANKS, PATTERN)) == tokens._json_encoder(JSON).encode("a<|endoftext|>", add_special_tokens=False).ids
+
+
 def test_shards_read_their_texts_once(spark):
     odd = F.udf(lambda i: "word " * int.from_bytes(os.urandom(2)), "string").asNondeterministic()
     rows = shards.write_and_read(spark.range(8, numPartitions=2).select(F.col("id").alias("doc_id"), odd("id").alias("text")), JSON, RANKS, PATTERN, length=32, per_shard=16).collect()
