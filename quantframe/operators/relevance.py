@@ -4,7 +4,8 @@ The index is a table of postings (term, document, weight); a weight is what the
 terms of the queries are indexed.  Each term has an upper bound, its largest weight, and a k-th weight: ``k`` documents
 score at least that much, so a query's best k-th weight is a floor of its k-th score.  Terms whose bounds together stay
 below the floor cannot lift a document to it alone; candidates come from the other terms only, and
-only candidates are scored, over all terms.
+only candidates are ranked.  Postings are summed up per query and document where they lie, so the work is that of the queries' own
+postings: a candidate never meets all other terms that its document holds.
 """
 
 from __future__ import annotations
@@ -58,9 +59,10 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, key: str = "doc_id",
     wanted = staged(queries.select("query_id", terms))
     weights = staged(postings(documents, wanted.select("term").distinct(), key, text))
     needed = staged(needed_terms(wanted, weights, k))
-    candidates = needed.where("needed").join(weights, "term").select("query_id", key).distinct()
-    scored = candidates.join(weights, key).join(needed.select("query_id", "term"), ["query_id", "term"])
-    scored = scored.groupBy("query_id", key).agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
+    # a query meets the postings of its own terms only; a candidate is a document that holds a needed one of them
+    named = needed.where(F.col("query_id").isNotNull()).join(weights.where(F.col(key).isNotNull()), "term")
+    met = named.groupBy("query_id", key).agg(F.sum("weight").alias("_sum"), F.max("needed").alias("_candidate"))
+    scored = met.where("_candidate").select("query_id", key, F.round("_sum", SCORE_DIGITS).alias("score"))
     order: list[Column] = [F.col("score").desc(), F.col(key).asc()]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("query_id", key, "score", "rank")

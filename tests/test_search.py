@@ -229,3 +229,11 @@ def test_archive_reads_only_the_days_of_the_batch(spark, tmp_path):
     files.write_archive(news([("c", "u", "2024-02-01 05:00:00")]), path)
     rows = spark.read.schema("text string, year string, month string, day string").json(path).where("text is not null").collect()
     assert sorted((r.text, r.month, r.day) for r in rows) == [("a", "01", "01"), ("a", "01", "02"), ("b", "01", "02"), ("c", "02", "01")]
+
+
+def test_bm25_reads_the_postings_of_a_query_once(spark):
+    """Every candidate met all the terms of its document, and then those of its query: the rows of a frequent term were multiplied."""
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma")], "query_id long, query_text string")
+    d = spark.createDataFrame([(i, f"alpha beta {'gamma ' * (i % 3)}") for i in range(30)], "doc_id long, text string")
+    plan = rl.bm25(q, d, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
