@@ -60,7 +60,11 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, key: str = "doc_id",
     weights = staged(postings(documents, wanted.select("term").distinct(), key, text))
     needed = staged(needed_terms(wanted, weights, k))
     # a query meets the postings of its own terms only; a candidate is a document that holds a needed one of them
-    named = needed.where(F.col("query_id").isNotNull()).join(weights.where(F.col(key).isNotNull()), "term")
+    asked = needed.where(F.col("query_id").isNotNull())
+    few = asked.limit(TRAVELLING_TERMS + 1).count() <= TRAVELLING_TERMS
+    # the postings of a document come together once, and what its queries make of them is summed up there
+    held = weights.where(F.col(key).isNotNull()).repartition(key)
+    named = held.join(F.broadcast(asked) if few else asked, "term")
     met = named.groupBy("query_id", key).agg(F.sum("weight").alias("_sum"), F.max("needed").alias("_candidate"))
     scored = met.where("_candidate").select("query_id", key, F.round("_sum", SCORE_DIGITS).alias("score"))
     order: list[Column] = [F.col("score").desc(), F.col(key).asc()]
