@@ -8,11 +8,13 @@ order here puts all short lists before the long ones, so the lists that are met
 the whole document is made of frequent passages.  A candidate's exact overlap is counted by binary search of the
 smaller set in the larger one.
 
-Where every link is asked for, all pairs of a list that pass the size and position filters are counted.  Where only the
-components are, a list is never expanded into all its pairs.  First every member is held against the list's most
+A list is never expanded into all its pairs.  First every member is held against the list's most
 central member (the one with the fewest rare shingles) and a few others; linked sets become components; then
 those outside a list's largest component meet the members of *other* components, which is still exact for the components: a pair that is left out
 has both ends in one component already.
+
+Where every link is asked for, those left out are counted without a row a pair: sets that share a component and
+lie in lists with left-out pairs are packed into blocks of near sizes, and two blocks meet as two matrices.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ PARITY = 2048
 #: Members of a list that all others meet before only those of different components do.
 LEADERS = 32
 PACKED = "part int, tokens binary, nodes binary, places binary"
+#: Sets of a block, bytes of its shingles, and shingles that a matrix of it holds at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 4 << 20, 4096
 #: At most this many lists are called long, so that the set of them can be sent to every task.
 MOST_LONG = 1 << 20
 
@@ -211,6 +215,47 @@ def _overlaps(num: int, den: int):
     return run
 
 
+def _shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every set of ``left`` shares with every set of ``right``: a product of two 0/1 matrices, by runs of columns."""
+    owners = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    tokens = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(*tokens)
+    out = np.zeros((len(left), len(right)), np.int64)
+    places = []
+    for token, owner in zip(tokens, owners):
+        at = np.searchsorted(both, token)
+        found = at < len(both)
+        found[found] = both[at[found]] == token[found]
+        order = np.argsort(at[found], kind="stable")
+        places.append((at[found][order], owner[found][order]))
+    for start in range(0, len(both), COLUMNS):
+        halves = []
+        for (at, owner), side in zip(places, (left, right)):
+            a, b = np.searchsorted(at, (start, start + COLUMNS))
+            half = np.zeros((len(side), COLUMNS), np.float32)
+            half[owner[a:b], at[a:b] - start] = 1
+            halves.append(half)
+        out += (halves[0] @ halves[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(num: int, den: int):
+    """Links of every set of two blocks to sets of the other; a block that meets itself is one of the pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns):
+                nodes, sets = ([np.array(row[i].as_py(), np.int64) for i in (0, 2)], [[np.frombuffer(v.as_buffer(), np.uint64) for v in row[i]] for i in (1, 3)])
+                sizes = [np.array([len(s) for s in side], np.int64) for side in sets]
+                linked = (num + den) * _shared_sizes(*sets) >= num * (sizes[0][:, None] + sizes[1][None, :])
+                linked &= nodes[0][:, None] != nodes[1][None, :]
+                ends = [(nodes[0], linked.sum(1))] if row[4].as_py() else [(nodes[0], linked.sum(1)), (nodes[1], linked.sum(0))]
+                node, n = (np.concatenate(c) for c in zip(*ends))
+                yield pa.record_batch({"node": pa.array(node), "class_links": pa.array(n.astype(np.int64))}).filter(pa.array(n > 0))
+
+    return run
+
+
 class _Join:
     """The state of one self-join: classes of equal sets, their inverted lists and the links found."""
 
@@ -234,10 +279,10 @@ class _Join:
         self.bags: DataFrame | None = None
 
     def postings(self) -> DataFrame:
-        """``(token, node, n, pos, guide)`` of all lists with at least two sets.
+        """``(token, node, n, pos, guide, crowded)`` of all lists with at least two sets.
 
         Guides are the list's most central member and about LEADERS others, the same in every list that has them,
-        by hash, so few different pairs arise; in a list of LEADERS or fewer all are.
+        by hash, so few different pairs arise; in a list of LEADERS or fewer all are; longer lists are crowded.
         The index is cut by token into parts of some two million postings.  Lists that are long come as plain
         rows, which any number of tasks can share.
         """
@@ -253,8 +298,9 @@ class _Join:
         big = rows.where(F.col("members") > LEADERS)
         heads = big.groupBy("token").agg(F.min(F.struct("rare", "n", "node")).alias("c")).select("token", F.col("c.node").alias("centre"))
         chosen = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("members") < F.lit(LEADERS << 20)
-        big = big.join(heads, "token").select("token", "node", "n", "pos", ((F.col("node") == F.col("centre")) | chosen).alias("guide"))
-        return rows.where(F.col("members") <= LEADERS).select("token", "node", "n", "pos", F.lit(True).alias("guide")).unionByName(staged(big))
+        big = big.join(heads, "token").select("token", "node", "n", "pos", ((F.col("node") == F.col("centre")) | chosen).alias("guide"), F.lit(True).alias("crowded"))
+        few = rows.where(F.col("members") <= LEADERS).select("token", "node", "n", "pos", F.lit(True).alias("guide"), F.lit(False).alias("crowded"))
+        return few.unionByName(staged(big))
 
     def _enough(self, a: str, b: str) -> str:
         """Size and position filters of a pair: the overlap can still reach T."""
@@ -286,10 +332,6 @@ class _Join:
         likely = staged(bits.mapInArrow(_may_reach(self.num, self.den), "a long, b long"))
         return staged(with_both(likely, "bag").select("a", "b", "x_a", "x_b").mapInArrow(_overlaps(self.num, self.den), "a long, b long"))
 
-    def pairs(self, marked: DataFrame) -> DataFrame:
-        """Every pair of one list that size and position allow: as many as there are links, where lists are of near copies."""
-        return self._met(marked, marked, "l.node < r.node")
-
     def led(self, marked: DataFrame) -> DataFrame:
         """Pairs of every list's members with its guides."""
         return self._met(marked, marked.where("guide"), "l.node <> r.node and (not l.guide or l.node < r.node)")
@@ -305,6 +347,40 @@ class _Join:
         right = told.join(largest.select("token", F.col("m.component").alias("main")), "token")
         return self._met(right.where("component <> main"), right, "l.component <> r.component and (r.component = r.main or l.node < r.node)")
 
+    def degrees(self, marked: DataFrame, found: DataFrame, whole: DataFrame) -> DataFrame:
+        """``(node, class_links)``: links of every set, those of ``found`` and those that it did not take to find the components.
+
+        A list of at most LEADERS members was tried whole, so a link that is missing has both ends in longer lists and, as
+        all links do, in one component.  These sets are cut by component and size (a step of sizes is the threshold, so a
+        link reaches the next step at most) into blocks, and blocks meet once.
+        """
+        crowd = staged(marked.where("crowded").select("node").distinct().join(whole, "node"))
+        crowd = crowd.join(crowd.groupBy("component").count().where("count > 1").select("component"), "component")
+        ratio = float(np.log(self.den / self.num)) if self.num < self.den else 1.0
+        # sizes of one link differ by the ratio at most: half a step more keeps the rounding of logarithms away
+        step = F.floor(F.log("n") / F.lit(ratio * 1.5)).cast("int") if self.num < self.den else F.col("n").cast("int")
+        sets = staged(self.bags.join(crowd, "node").select("component", step.alias("step"), "node", "bag"), row_group=GATHERED)
+        sizes = sets.groupBy("component", "step").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("bag")).alias("bytes"))
+        parts = F.ceil(F.greatest(F.col("sets") / F.lit(BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+        sizes = staged(sizes.select("component", "step", parts.alias("parts")))
+        dealt = sets.join(sizes, ["component", "step"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        blocks = dealt.groupBy("component", "step", "part").agg(F.collect_list(F.struct("node", "bag")).alias("held"))
+        blocks = staged(blocks.select("component", "step", "part", F.col("held.node").alias("nodes"), F.col("held.bag").alias("bags")), row_group=GATHERED)
+        names = blocks.select("component", "step", "part")
+        left, right = (names.select("component", F.col("step").alias(f"step_{e}"), F.col("part").alias(f"part_{e}")) for e in "lr")
+        near = "(step_l = step_r and part_l <= part_r) or step_r = step_l + 1"
+        met = left.join(right, "component").where(near).withColumn("itself", F.expr("step_l = step_r and part_l = part_r"))
+        for e in "lr":
+            side = blocks.withColumnsRenamed({"step": f"step_{e}", "part": f"part_{e}", "nodes": f"nodes_{e}", "bags": f"bags_{e}"})
+            met = met.join(side, ["component", f"step_{e}", f"part_{e}"])
+        counted = met.select("nodes_l", "bags_l", "nodes_r", "bags_r", "itself").mapInArrow(_block_links(self.num, self.den), "node long, class_links long")
+        known = found
+        for end in ("a", "b"):
+            known = known.join(crowd.select(F.col("node").alias(end), F.lit(True).alias(f"crowd_{end}")), end, "left")
+        known = known.where("crowd_a is null or crowd_b is null")
+        ends = known.select(F.col("a").alias("node")).unionAll(known.select("b")).withColumn("class_links", F.lit(1).cast("long"))
+        return counted.unionAll(ends).groupBy("node").agg(F.sum("class_links").alias("class_links"))
+
     def _met(self, left: DataFrame, right: DataFrame, where: str) -> DataFrame:
         met = left.alias("l").join(right.alias("r"), "token").where(F.expr(f"{where} and {self._enough('l', 'r')}"))
         return met.selectExpr("least(l.node, r.node) as a", "greatest(l.node, r.node) as b").distinct()
@@ -318,23 +394,24 @@ def jaccard_components(
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  Returns one row per input row:
     ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links, itself included) and
     ``class_links`` (links from the document's set to other sets; without ``every_link`` only those that it took
-    to find the components, which saves the pairs of long lists).  A null or empty text, or one without words, has the empty set and
+    to find the components).  A null or empty text, or one without words, has the empty set and
     links with nothing.  Repeated rows are copies.  A null doc_id takes part but never names a
     component unless it stands alone.  Hashes of 64 bits stand for shingles, 128 bits for whole sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     work = _Join(docs, words, numerator, denominator)
     marked = work.postings()
-    if every_link:
-        every = work.links(staged(work.pairs(marked)))
-    else:
-        tried = staged(work.led(marked))
-        every = work.links(tried)
-        rest = staged(work.across(marked, every).join(tried, ["a", "b"], "left_anti"))
-        every = every.unionByName(work.links(rest))
+    tried = staged(work.led(marked))
+    every = work.links(tried)
+    rest = staged(work.across(marked, every).join(tried, ["a", "b"], "left_anti"))
+    every = every.unionByName(work.links(rest))
     whole = components(every).select(F.col("id").alias("node"), "component")
 
-    degree = every.select(F.col("a").alias("node")).unionAll(every.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("class_links"))
+    if every_link:
+        whole = staged(whole)
+        degree = work.degrees(marked, every, whole)
+    else:
+        degree = every.select(F.col("a").alias("node")).unionAll(every.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("class_links"))
     named = work.classes.select("node", "sig", "doc_id").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "component").join(degree, "node", "left").select("sig", "component_id", F.coalesce("class_links", F.lit(0).cast("long")).alias("class_links"))
