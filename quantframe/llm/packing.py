@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,10 +120,6 @@ def _pieces(length: int, total: int):
     return run
 
 
-def _rank(cuts: list[int], places: pd.Series) -> pd.Series:
-    return pd.Series(np.searchsorted(np.array(cuts, np.int64), places.to_numpy(), side="left").astype(np.int32))
-
-
 def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, length: int = 2048, end_id: int = 1) -> DataFrame:
     """Pack ``docs(doc_id, text)`` into sequences of ``length`` ids (a power of two) along the curve.
 
@@ -147,9 +142,9 @@ def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, length:
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = coded.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)] or [0.5], 50 * ranges)).first()[0] or []
     cuts = sorted(set(cuts))
-    # the ordinal of the range: how many cuts lie below the place (a few hundred longs, looked up by halving)
-    finder = F.pandas_udf(lambda places: _rank(cuts, places), "int")
-    placed = coded.withColumn("range", finder("place"))
+    # the ordinal of the range: how many cuts lie below the place; an expression, so the ids do not wait in a queue for Python
+    below = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda cut: cut < F.col("place")))
+    placed = coded.withColumn("range", below)
     counted = placed.groupBy("range").agg(F.sum("doc_tokens").alias("n"))
     counted = sorted((r[0], r[1]) for r in counted.collect())  # one row per range
     base, total = {}, 0

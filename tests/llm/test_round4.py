@@ -46,3 +46,19 @@ def test_shared_sizes_by_runs_of_columns(monkeypatch):
     left, right = ([np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in sizes] for sizes in ((1, 40, 70), (60, 5)))
     want = [[len(set(a) & set(b)) for b in right] for a in left]
     assert near_text._shared_sizes(left, right).tolist() == want
+
+
+def test_packing_ranges_need_no_python_beside_the_encoder_and_the_cutter(spark):
+    """Rows with whole ids do not wait in a queue while a Python function looks their range up."""
+    import public_tokenizers
+
+    from quantframe.llm import packing
+
+    docs = spark.createDataFrame([(i, f"text number {i} " * (1 + i % 9)) for i in range(200)], "doc_id long, text string")
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = packing.pack(docs, *paths, public_tokenizers.PATTERN)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    total = out.select("doc_id", "doc_tokens").distinct().agg({"doc_tokens": "sum"}).first()[0]
+    places = sorted((r.sequence_id, r.offset, r.length) for r in out.collect())
+    assert sum(p[2] for p in places) == total
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:]))
