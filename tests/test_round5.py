@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from quantframe.ml import models
+from quantframe.ml import validation as vd
 from quantframe.plans import model_queries as mq
 
 
@@ -28,3 +29,16 @@ def test_boosted_query_fits_the_production_rounds(spark, sf_dir, monkeypatch):
     _, options = _called_with(monkeypatch, models, "train_classifier", lambda: mq.train_boosted(spark, sf_dir))
     assert options["kind"] == "boosted" and options["maxIter"] == 171 and options["minInstancesPerNode"] == 78
     assert options["maxDepth"] == 4 and options["stepSize"] == pytest.approx(0.0584546)
+
+
+def test_search_query_keeps_every_trial_and_the_whole_space(spark, sf_dir, monkeypatch):
+    (panel, features, plan, *rest), options = _called_with(monkeypatch, vd, "param_search", lambda: mq.param_search(spark, sf_dir))
+    assert not rest and not options  # all trials of the default, over the default space
+    dates = panel.select("date").distinct().count()
+    assert dates < 257 and plan.train_days == dates // 2  # the smallest set has no production fold
+    assert (plan.step_days, plan.embargo_days, plan.n_features) == (20, 5, 15) and len(features) == 34
+
+
+def test_search_folds_are_the_production_ones_where_the_history_allows(spark):
+    plan = mq._search_plan(spark.sql("select date_add(date'2020-01-01', cast(id as int)) as date from range(258)"))
+    assert (plan.train_days, plan.step_days, plan.embargo_days) == (252, 20, 5)
