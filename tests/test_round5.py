@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 import pytest
 
 from quantframe.ml import models
 from quantframe.ml import validation as vd
 from quantframe.plans import model_queries as mq
+from quantframe.session import _stage_root, staged
 
 
 class Seen(Exception):
@@ -42,3 +46,38 @@ def test_search_query_keeps_every_trial_and_the_whole_space(spark, sf_dir, monke
 def test_search_folds_are_the_production_ones_where_the_history_allows(spark):
     plan = mq._search_plan(spark.sql("select date_add(date'2020-01-01', cast(id as int)) as date from range(258)"))
     assert (plan.train_days, plan.step_days, plan.embargo_days) == (252, 20, 5)
+
+
+def _shuffle_files(spark) -> int:
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum("shuffle_" in str(name) for name in blocks.getAllBlocks().mkString("\n").split("\n"))
+
+
+def test_a_written_frame_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    given = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    frame = staged(spark.range(1000).repartition(4, "id"))
+    for _ in range(50):
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before and frame.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == given
+
+
+def _stored_frames(spark) -> int:
+    return sum("_SUCCESS" in names for _, _, names in os.walk(_stage_root(spark).removeprefix("file:")))
+
+
+def test_the_panel_is_all_that_its_making_leaves(spark, sf_dir):
+    before = _stored_frames(spark)
+    panel = mq._panel(spark, sf_dir)
+    assert _stored_frames(spark) == before + 1 and panel.count() == 863
+
+
+def test_labels_are_no_second_copy_of_the_panel(spark, sf_dir):
+    panel = mq._panel(spark, sf_dir)
+    before = {f.rsplit("/", 1)[0] for f in panel.inputFiles()}
+    rows = mq._labelled(panel)
+    assert {f.rsplit("/", 1)[0] for f in rows.select("ret_1d").inputFiles()} == before
+    assert {r[0] for r in rows.select("target").distinct().collect()} == {-1, 0, 1}
