@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantframe.ml import models
 from quantframe.ml import validation as vd
+from quantframe.operators import features as ft
+from quantframe.plans import market_queries as kq
 from quantframe.plans import model_queries as mq
 from quantframe.session import _stage_root, staged
+from quantframe.sources import files
 
 
 class Seen(Exception):
@@ -81,3 +86,66 @@ def test_labels_are_no_second_copy_of_the_panel(spark, sf_dir):
     rows = mq._labelled(panel)
     assert {f.rsplit("/", 1)[0] for f in rows.select("ret_1d").inputFiles()} == before
     assert {r[0] for r in rows.select("target").distinct().collect()} == {-1, 0, 1}
+
+
+def test_latest_rows_come_from_one_pass_that_stores_no_panel(spark, sf_dir):
+    rows = [("A", "2024-01-01", 1), ("A", None, 2), ("B", "2024-01-03", 3), ("B", "2024-01-03", 3), ("C", "2024-01-02", None), ("D", "2024-01-03", None)]
+    frame = spark.createDataFrame(rows, "ticker string, date string, x int").withColumn("date", F.col("date").cast("date")).repartition(3)
+    found = sorted((r.ticker, r.x) for r in ft.latest_cross_section(frame).collect() if r.x) + [r.ticker for r in ft.latest_cross_section(frame).where("x is null").collect()]
+    assert found == [("B", 3), ("B", 3), "D"]
+    before = _stored_frames(spark)
+    latest = kq.latest_cross_section(spark, sf_dir)
+    assert _stored_frames(spark) == before + 1 and latest.count() == sum(spark.read.parquet(f).count() for f in latest.inputFiles())
+
+
+def test_reports_are_replaced_in_turns(spark, tmp_path, monkeypatch):
+    days = [dt.date(2020 + i, 1, 1) for i in range(9)]
+    rows = lambda text: staged(spark.createDataFrame([(t, d, text) for t in ("SPY", "QQQ") for d in days], "ticker string, date date, report string"))
+    written = []
+    real = files.shuffles_dropped
+    monkeypatch.setattr(files, "WRITTEN_AT_ONCE", 0)
+    monkeypatch.setattr(files, "shuffles_dropped", lambda s: written.append(1) or real(s))
+    for text in ("old", "new"):
+        files.write_reports(rows(text), str(tmp_path / "r"), "yyyy")
+    back = [tuple(r) for r in files.read_reports(spark, str(tmp_path / "r")).collect()]
+    assert sorted(back) == sorted((t, d, "new") for t in ("SPY", "QQQ") for d in days) and len(written) == 2 * files.TURNS
+
+
+@pytest.fixture(scope="module")
+def small_panel(spark):
+    start = "date_add(date'2020-01-01', cast(id div 3 as int))"
+    return staged(spark.range(300).selectExpr("concat('T', id % 3) as ticker", f"{start} as date", "sin(id) as a", "sin(id * 7) as fwd_log_return").where("id % 11 > 0"))
+
+
+def test_a_large_panel_is_put_in_order_by_ranges_of_dates(small_panel, monkeypatch):
+    whole = sorted(map(tuple, vd.index_panel(small_panel).collect()))
+    monkeypatch.setattr(vd, "ORDERED_AT_ONCE", 0)
+    kept = []
+    parts = vd.index_panel(small_panel, lambda frames: kept.extend(frames) or staged(frames))
+    assert len(kept) == vd.RANGES and sorted(map(tuple, parts.collect())) == whole
+    assert all(f.select("date").intersect(g.select("date")).isEmpty() for i, f in enumerate(kept) for g in kept[:i])
+
+
+def test_large_fits_do_not_run_side_by_side(small_panel, monkeypatch):
+    indexed, plan = vd.index_panel(small_panel), vd.FoldPlan(train_days=50, step_days=25)
+    assert vd._side_by_side(indexed, plan, 4) == 4
+    monkeypatch.setattr(vd, "IN_FLIGHT", 300)
+    assert vd._side_by_side(indexed, plan, 4) == 2
+    monkeypatch.setattr(vd, "IN_FLIGHT", 1)
+    assert vd._side_by_side(indexed, plan, 4) == 1
+
+
+def test_boosted_classes_are_fitted_without_a_copy_of_the_vectors(small_panel, monkeypatch):
+    def kept(*_):
+        raise AssertionError("the vectors are stored")
+
+    monkeypatch.setattr(type(small_panel), "persist", kept)
+    rows = small_panel.withColumn("target", F.when(F.col("a") > 0.3, 1).when(F.col("a") < -0.3, -1).otherwise(0))
+    model = models.train_classifier(rows, ["a"], kind="boosted", maxIter=2, maxDepth=2)
+    monkeypatch.undo()
+    assert models.predicted_class(model, rows).where("y_pred = target").count() > 0.9 * rows.count()
+
+
+def test_light_retraining_stores_what_its_champion_reads(spark, sf_dir, monkeypatch):
+    (panel,), _ = _called_with(monkeypatch, mq, "_champion", lambda: mq.light_retrain(spark, sf_dir))
+    assert panel.columns == ["date", *mq.CHAMPION_FEATURES, "fwd_log_return"]
